@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from corpusloom.plans.queries import QUERIES
+from corpusloom.plans.sql import ORACLE
+
+__all__ = ["ORACLE", "QUERIES"]
