@@ -2,14 +2,14 @@
 
 Texts are dealt to groups by hash; a group of bounded size is packed by one task. A partial partition is a list of
 container sums; the two of widest spread are merged with opposing imbalances, the largest sum of one with the smallest of
-the other, until one near-equal partition is left. Where a container then exceeds the capacity, its smallest items move to
-the room of others; if that can't hold them, the number of containers rises.
+the other, until one near-equal partition is left. Where a container then exceeds the capacity, it trades items with
+containers that have room; for items that this leaves over the number of containers rises.
 """
 
 from __future__ import annotations
 
 import heapq
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -57,27 +57,62 @@ def leaves(tree) -> list[int]:
     return out
 
 
-def settle(boxes: list[list[int]], sizes: list[int], capacity: int) -> list[list[int]] | None:
-    """Boxes of which none exceeds the capacity; None if that takes another box. What is too much in a box, its smallest
-    items, goes to the boxes with the least room that still holds it."""
-    spare, room = [], []
-    for n, b in enumerate(boxes):
-        total = sum(sizes[i] for i in b)
-        if total > capacity:
-            b.sort(key=lambda i: -sizes[i])
-            while total > capacity:
-                total -= sizes[b[-1]]
-                spare.append(b.pop())
-        room.append((capacity - total, n))
-    room.sort()
-    for i in sorted(spare, key=lambda i: (-sizes[i], i)):
-        at = bisect_left(room, (sizes[i], -1))
+def settle(boxes: list[list[int]], sizes: list[int], capacity: int, look: int = 120) -> tuple[list[list[int]], list[int]]:
+    """(boxes of which none exceeds the capacity, items that found no room). A box with too much trades an item for a
+    smaller one of a box with room (or gives it away), the trade that just ends the excess first, else the largest one. Where no trade helps, the smallest item that ends the excess, or the largest one,
+    is taken out; in the end such items go to the box with the least room that holds them."""
+    held = [sorted((sizes[i], i) for i in b) for b in boxes]
+    left = [capacity - sum(s for s, _ in b) for b in held]
+    room = sorted((r, n) for n, r in enumerate(left) if r > 0)
+    spare: list[tuple[int, int]] = []
+    for n in sorted((n for n, r in enumerate(left) if r < 0), key=lambda n: left[n]):
+        while left[n] < 0:
+            excess, best = -left[n], None  # best: (done, gain, place in room, item, item in return)
+            for k in range(len(room) - 1, max(-1, len(room) - 1 - look), -1):
+                r, m = room[k]
+                for x in held[n]:
+                    # the largest item in return that ends the excess, or none
+                    at = bisect_right(held[m], (x[0] - excess, capacity)) - 1
+                    y = held[m][at] if at >= 0 else (0, -1)
+                    gain = x[0] - y[0]
+                    if gain > r:  # too much for the room there: the smallest in return that still fits
+                        at = bisect_left(held[m], (x[0] - r, -1))
+                        y = held[m][at] if at < len(held[m]) else (0, -1)
+                        gain = x[0] - y[0]
+                    if 0 < gain <= r and (best is None or (gain >= excess, -gain if gain >= excess else gain) > best[:2]):
+                        best = (gain >= excess, -gain if gain >= excess else gain, k, x, y)
+                if best and best[0]:
+                    break
+            if best is None:
+                at = bisect_left(held[n], (excess, -1))
+                x = held[n].pop(at if at < len(held[n]) else -1)
+                left[n] += x[0]
+                spare.append(x)
+                continue
+            _, _, k, x, y = best
+            r, m = room.pop(k)
+            held[n].remove(x)
+            insort(held[m], x)
+            if y[1] >= 0:
+                held[m].remove(y)
+                insort(held[n], y)
+            gain = x[0] - y[0]
+            left[n], left[m] = left[n] + gain, r - gain
+            if left[m] > 0:
+                insort(room, (left[m], m))
+        if left[n] > 0:
+            insort(room, (left[n], n))
+    lost = []
+    for x in sorted(spare, reverse=True):
+        at = bisect_left(room, (x[0], -1))
         if at == len(room):
-            return None
-        left, n = room.pop(at)
-        boxes[n].append(i)
-        insort(room, (left - sizes[i], n))
-    return boxes
+            lost.append(x[1])
+            continue
+        r, m = room.pop(at)
+        held[m].append(x)
+        if r > x[0]:
+            insort(room, (r - x[0], m))
+    return [[i for _, i in b] for b in held], lost
 
 
 def pack(sizes: list[int], capacity: int) -> list[list[int]]:
@@ -90,21 +125,14 @@ def pack(sizes: list[int], capacity: int) -> list[list[int]]:
     large = sum(2 * s > capacity for s in own)
     least = max(-(-sum(own) // capacity), large, 1)
 
-    def attempt(k: int) -> list[list[int]] | None:
-        return settle([leaves(t) for _, t in difference(own, k)], own, capacity)
-
-    step, k, found = 1, least, None
-    while (found := attempt(k)) is None:  # rises faster and faster, then back to the least number that fits
-        low, k, step = k, min(k + step, len(own)), step * 2
-    if step > 2:
-        high = k
-        while low + 1 < high:
-            mid = (low + high) // 2
-            if (got := attempt(mid)) is not None:
-                high, found = mid, got
-            else:
-                low = mid
-    return alone + [[rest[j] for j in b] for b in found]
+    boxes, lost = settle([leaves(t) for _, t in difference(own, least)], own, capacity)
+    while lost:  # the number of containers rises by what these items need
+        part = [own[i] for i in lost]
+        k = max(-(-sum(part) // capacity), sum(2 * s > capacity for s in part), 1)
+        more, left = settle([leaves(t) for _, t in difference(part, k)], part, capacity)
+        boxes += [[lost[j] for j in b] for b in more if b]
+        lost = [lost[j] for j in left]
+    return alone + [[rest[j] for j in b] for b in boxes if b]
 
 
 def pieces(sizes: DataFrame, id_col: str, capacity_col: str) -> DataFrame:
