@@ -12,6 +12,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -89,6 +90,15 @@ def code_points(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return points, before[off - off[0]]
 
 
+def slices(batch: pa.RecordBatch, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows whose texts (column 1) take about `most` bytes, so that long texts don't add up in memory."""
+    size = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+    part = np.cumsum(size) // most if len(size) else size
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1), batch.num_rows]
+    for lo, hi in zip(cuts, cuts[1:]):
+        yield batch.slice(lo, hi - lo)
+
+
 def to_arrow(points: np.ndarray, bounds: np.ndarray, nulls: np.ndarray | None) -> pa.Array:
     """The way back: one copy for the batch, offsets in bytes by the length each code point takes in UTF-8."""
     raw = points.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass")
@@ -164,7 +174,7 @@ def to_one_form(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     plain = F.coalesce(~F.col("clean_text").rlike("[^\\x00-\\x7F]"), F.lit(True))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for batch in batches for part in slices(batch)):
             points, bounds, hits = normalise(*code_points(b.column(1)))
             yield pa.record_batch([b.column(0), to_arrow(points, bounds, np.asarray(b.column(1).is_null())), pa.array(hits)], [b.schema.names[0], "clean_text", "replaced"])
 
@@ -178,7 +188,7 @@ def with_lookalikes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = df.select(F.col(id_col), F.col(text_col).alias("_text")).where(F.col("_text").rlike("[^\\x00-\\x7F]"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for batch in batches for part in slices(batch)):
             hits = normalise(*code_points(b.column(1)))[2]
             yield pa.record_batch([b.column(0).filter(pa.array(hits > 0))], [b.schema.names[0]])
 

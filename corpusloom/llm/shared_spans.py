@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.lookalikes import code_points
+from corpusloom.llm.lookalikes import code_points, slices
 from corpusloom.runtime import materialise
 
 #: Code points worked on at once.
@@ -70,7 +70,7 @@ def scan(docs: DataFrame, span: int, anchor: int) -> DataFrame:
     schema = f"mini long, _id {dict(docs.dtypes)['_id']}, start int, windows int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for batch in batches for part in slices(batch, 4 * BLOCK)):
             points, bounds = code_points(b.column(1))
             lo = 0
             while lo < len(bounds) - 1:
@@ -127,8 +127,9 @@ def bucket_windows(rows: list[tuple[object, int, str]], span: int) -> tuple[set[
 
 def shared_windows(docs: DataFrame, id_col: str, text_col: str, span: int = 200, anchor: int = 32) -> DataFrame:
     """(gid, _id, a, b): with gid set, _id belongs to a set of records that have one window in common; with gid null,
-    the text of _id from a to b (exclusive) stands in another record too."""
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where(F.length("_text") >= span)
+    the text of _id from a to b (exclusive) stands in another record too. Rows without an id, without text or with a
+    shorter one have no row; a span repeated within one record only is not shared."""
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where(F.col("_id").isNotNull() & (F.length("_text") >= span))
     kind = dict(rows.dtypes)["_id"]
     found = materialise(scan(rows, span, anchor), "kmers")
     per_bucket = found.groupBy("mini").agg(F.min("_id").alias("_lo"), F.max("_id").alias("_hi"), F.count("*").alias("_n")).where(F.col("_lo") != F.col("_hi")).select("mini", "_n")
@@ -171,9 +172,9 @@ def shared_windows(docs: DataFrame, id_col: str, text_col: str, span: int = 200,
     big = packed.where(F.col("_n") > BUCKET)
     windows = big.select("mini", "s").distinct().select("mini", "s", F.explode(F.sequence(F.lit(1), F.length("s") - (span - 1))).alias("k"))
     windows = windows.select("mini", "s", "k", F.xxhash64("mini", F.expr(f"substring(s, k, {span})")).alias("w1"), F.hash(F.expr(f"substring(s, k, {span})")).alias("w2"))
-    owners = windows.groupBy("w1", "w2").agg(F.count("*").alias("n"), F.min("s").alias("first"), F.min("k").alias("k0"))
     members = big.select("s", "_id").distinct().groupBy("s").agg(F.min("_id").alias("lo"), F.max("_id").alias("hi"))
-    many = windows.join(owners.where(F.col("n") > 1).select("w1", "w2"), ["w1", "w2"], "left_semi").unionByName(windows.join(members.where(F.col("lo") != F.col("hi")).select("s"), "s", "left_semi").select(windows.columns)).distinct()
+    shared = windows.join(members, "s").groupBy("w1", "w2").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo != hi").select("w1", "w2")
+    many = windows.join(shared, ["w1", "w2"], "left_semi")
     cut = big.select("s", "_id", "start").join(many.select("s", "k"), "s").select(F.lit(None).cast("long").alias("gid"), "_id", (F.col("start") + F.col("k") - 1).cast("int").alias("a"), (F.col("start") + F.col("k") - 1 + span).cast("int").alias("b"))
     # one window stands for all that have the same strings
     signature = many.groupBy("w1", "w2").agg(F.sum(F.xxhash64("s").cast("decimal(38,0)")).alias("sig"), F.count("*").alias("n"), F.first("mini").alias("mini")).groupBy("mini", "sig", "n").agg(F.min(F.struct("w1", "w2")).alias("w"))
