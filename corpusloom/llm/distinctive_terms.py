@@ -117,7 +117,8 @@ def score_terms(
     else:
         # the vocabulary is too large for the workers' memory: postings are joined with it, then come back by chunk
         lower = F.translate("_text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-        postings = rows.select("_id", F.monotonically_increasing_id().alias("_row"), F.explode(F.regexp_extract_all(lower, F.lit("[a-z]+"), F.lit(0))).alias("term")).where(F.length("term") >= min_len).groupBy("_id", "_row", "term").agg(F.count("*").alias("tf"))
+        numbered = rows.withColumn("_row", F.monotonically_increasing_id())
+        postings = numbered.select("_id", "_row", F.explode(F.regexp_extract_all(lower, F.lit("[a-z]+"), F.lit(0))).alias("term")).where(F.length("term") >= min_len).groupBy("_id", "_row", "term").agg(F.count("*").alias("tf"))
         by_chunk = postings.join(stats, "term").groupBy("_id", "_row").agg(F.array_sort(F.collect_list(F.struct("term", "tf", "df", "cf"))).alias("t"))
 
         def score_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

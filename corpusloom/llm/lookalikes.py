@@ -45,6 +45,12 @@ def tables() -> dict[str, np.ndarray]:
         kind[c], start[c], size[c] = k, len(pool), len(to)
         pool.extend(map(ord, to))
 
+    latin, letter = np.zeros(0x110000, bool), np.zeros(0x110000, bool)
+    for lo, hi in ((0x41, 0x5B), (0x61, 0x7B), (0xC0, 0x250), (0x1E00, 0x1F00)):
+        latin[lo:hi] = True
+    latin[[0xD7, 0xF7]] = False
+    letter |= latin
+    letter[0x370:0x530] = True
     for c in HIDDEN:
         put(c, "", HIDE)
     for c in SPACES:
@@ -54,6 +60,7 @@ def tables() -> dict[str, np.ndarray]:
             to, how = unicodedata.normalize("NFKC", chr(c)), unicodedata.decomposition(chr(c))
             if to != chr(c) and c not in KEPT and not how.startswith(KEPT_KINDS):
                 put(c, to, MAP)
+                letter[c], latin[c] = to.isalpha(), to.isalpha() and bool(latin[ord(to[0])])  # a stand-in is part of the word it stands in
     for c in HYPHENS:
         put(c, "-", MAP)
     for c, to in SPECIAL.items():
@@ -61,12 +68,6 @@ def tables() -> dict[str, np.ndarray]:
     for pair in f"{CYRILLIC} {GREEK} {OTHER}".split():
         if pair[0] not in GREEK_SYMBOLS:
             put(ord(pair[0]), pair[1], LOOK)
-    latin, letter = np.zeros(0x110000, bool), np.zeros(0x110000, bool)
-    for lo, hi in ((0x41, 0x5B), (0x61, 0x7B), (0xC0, 0x250), (0x1E00, 0x1F00)):
-        latin[lo:hi] = True
-    latin[[0xD7, 0xF7]] = False
-    letter |= latin
-    letter[0x370:0x530] = True
     pairs = {}
     for c in [*range(0xC0, 0x250), *range(0x370, 0x530), *range(0x1E00, 0x2000)]:
         d = unicodedata.decomposition(chr(c)).split()
@@ -122,7 +123,7 @@ def normalise(points: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
     look = np.flatnonzero(kind == LOOK)
     if len(look):
         # a word: letters, and what doesn't show between them or hangs on them, within one text
-        inside = t["letter"][points] | (kind == HIDE) | t["mark"][points] | ((kind == MAP) & (points > 0xFF00))
+        inside = t["letter"][points] | (kind == HIDE) | t["mark"][points]
         new = np.ones(len(points), bool)
         new[1:] = ~(inside[1:] & inside[:-1] & (text[1:] == text[:-1]))
         word = np.cumsum(new) - 1
