@@ -60,7 +60,8 @@ def proximity_bonus(ws: Column, tokens: Column, window: int = 30) -> Column:
     neighbouring hits can be closest."""
     hits = F.filter(F.transform(ws, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda h: F.array_contains(tokens, h["w"]))
     gap = _closest(hits)
-    return F.when((F.size(tokens) < 2) | gap.isNull() | (gap > window), 0.0).otherwise(1.0 - gap / F.lit(float(window)))
+    # most texts hold fewer than two of the tokens and need no walk through their words
+    return F.when(F.size(F.array_intersect(tokens, ws)) < 2, 0.0).when(gap.isNull() | (gap > window), 0.0).otherwise(1.0 - gap / F.lit(float(window)))
 
 
 def ngram_bonus(t: Column, grams: list[str], max_hits: int = 6) -> Column:
@@ -90,15 +91,15 @@ def _chars(text: Column, pattern: str, keep=None) -> Column:
     return F.aggregate(F.filter(found, keep) if keep else found, F.lit(0), lambda n, x: n + F.length(x))
 
 
-def gibberish_penalty(text: Column, ws: Column, threshold: float = 0.2) -> Column:
-    """ws: the text's words. 1 up to the threshold's share of line numbers, doi, mixed tokens, punctuation clusters and digit words (counted as
+def gibberish_penalty(text: Column, t_flat: Column, threshold: float = 0.2) -> Column:
+    """t_flat: the flat text. 1 up to the threshold's share of line numbers, doi, mixed tokens, punctuation clusters and digit words (counted as
     often as they are in several of these classes), falling to 0 at one half. Texts under 20 characters have 1."""
     t = F.coalesce(text, F.lit(""))
     edge, back = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
     bad = _chars(t, rf"{edge}[0-9]{{3,5}}{back}") + _chars(t, r"doi:[^\p{Z}\t-\r]+|10\.[0-9]{4,}/[^\p{Z}\t-\r]+")
     bad = bad + _chars(t, rf"{edge}[0-9]+[a-zA-Z]+[0-9]*{back}|{edge}[a-zA-Z]+[0-9]+[a-zA-Z]*{back}", lambda x: F.length(x) > 3)
     bad = bad + _chars(t, r"[^\p{L}\p{N}_\p{Z}\t-\r]{2,}")
-    digits = F.filter(ws, lambda w: (F.length(w) > 2) & ((F.length(w) - F.length(F.regexp_replace(w, "[0-9]", ""))) / F.length(w) > 0.5))
+    digits = F.filter(F.regexp_extract_all(t_flat, F.lit("[^ ]*[0-9][^ ]*"), F.lit(0)), lambda w: (F.length(w) > 2) & ((F.length(w) - F.length(F.regexp_replace(w, "[0-9]", ""))) / F.length(w) > 0.5))
     bad = bad + F.aggregate(digits, F.lit(0), lambda n, x: n + F.length(x))
     ratio = bad / F.length(t)
     span = 0.5 - threshold

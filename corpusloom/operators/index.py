@@ -15,21 +15,25 @@ from corpusloom.runtime import materialise
 
 @dataclass
 class Index:
-    """postings(term, chunk_id, tf, dl), terms(term, df, idf), stats(n, avgdl, avg_idf), one row."""
+    """postings(term, chunk_id, tf, dl), terms(term, df, idf), and three numbers of the whole corpus."""
 
     postings: DataFrame
     terms: DataFrame
-    stats: DataFrame
+    n: int
+    avgdl: float
+    avg_idf: float
 
     def save(self, path: str) -> None:
         """Postings sorted by term, so that a query reads only the row groups of its terms."""
+        spark = self.postings.sparkSession
         self.postings.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
-        self.terms.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
-        self.stats.write.mode("overwrite").parquet(f"{path}/stats")
+        self.terms.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
+        spark.createDataFrame([(self.n, self.avgdl, self.avg_idf)], "n long, avgdl double, avg_idf double").coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Index:
-        return cls(*(spark.read.parquet(f"{path}/{t}") for t in ("postings", "terms", "stats")))
+        s = spark.read.parquet(f"{path}/stats").first()
+        return cls(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/terms"), s["n"], s["avgdl"], s["avg_idf"])
 
 
 def term_frequencies(corpus: DataFrame, pattern: str = C.TOKEN) -> DataFrame:
@@ -38,19 +42,16 @@ def term_frequencies(corpus: DataFrame, pattern: str = C.TOKEN) -> DataFrame:
     return tokens.groupBy("chunk_id", "term").agg(F.count("*").alias("tf"))
 
 
-def build(corpus: DataFrame, pattern: str = C.TOKEN, keep: bool = True) -> Index:
-    """Index of all chunks; chunks without a term count in n and in the average length."""
+def build(corpus: DataFrame, pattern: str = C.TOKEN) -> Index:
+    """Index of all chunks; chunks without a term count in n and in the average length. Postings and terms are written once
+    and read by every query; only three numbers reach the driver."""
     tokens = corpus.select("chunk_id", tokenize(F.col("text"), pattern).alias("t")).withColumn("dl", F.size("t").cast("long"))
-    postings = tokens.select("chunk_id", "dl", F.explode("t").alias("term")).groupBy("term", "chunk_id", "dl").agg(F.count("*").alias("tf"))
-    if keep:
-        postings = materialise(postings, "postings")
-    size = tokens.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    terms = postings.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(size.select("n")), how="cross")  # one row
-    terms = terms.select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
-    if keep:
-        terms = materialise(terms, "terms")
-    stats = size.join(terms.agg(F.avg("idf").alias("avg_idf")), how="cross")  # one row each
-    return Index(postings, terms, materialise(stats, "stats") if keep else stats)
+    postings = materialise(tokens.select("chunk_id", "dl", F.explode_outer("t").alias("term")).groupBy("term", "chunk_id", "dl").agg(F.count("term").alias("tf")), "postings")
+    size = postings.agg(F.countDistinct("chunk_id").alias("n"), F.sum("tf").alias("words")).first()
+    n = size["n"] or 0
+    counted = postings.where(F.col("term").isNotNull()).groupBy("term").agg(F.count("*").alias("df"))
+    terms = materialise(counted.select("term", "df", (F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf")), "terms")
+    return Index(postings.where(F.col("term").isNotNull()), terms, n, (size["words"] or 0) / max(1, n), terms.agg(F.avg("idf")).first()[0] or 0.0)
 
 
 def query_terms(spark: SparkSession, queries: list[Query]) -> DataFrame:
@@ -62,11 +63,10 @@ def query_terms(spark: SparkSession, queries: list[Query]) -> DataFrame:
 def bm25(index: Index, terms: DataFrame, k1: float = 1.4, b: float = 0.75) -> DataFrame:
     """(query_id, chunk_id, bm25) of chunks with any of the terms. A negative idf counts a quarter of the average idf; a term
     asked for twice counts twice. The queries' few terms are broadcast to the postings, not the postings shuffled."""
-    s = index.stats.select("avgdl", "avg_idf")
-    known = index.terms.join(F.broadcast(terms), "term").join(F.broadcast(s), how="cross")
-    weighted = known.select("term", "query_id", "avgdl", (F.when(F.col("idf") < 0, 0.25 * F.col("avg_idf")).otherwise(F.col("idf")) * F.col("qtf")).alias("w"))
+    idf = F.when(F.col("idf") < 0, F.lit(0.25 * index.avg_idf)).otherwise(F.col("idf"))
+    weighted = index.terms.join(F.broadcast(terms), "term").select("term", "query_id", (idf * F.col("qtf")).alias("w"))
     hit = index.postings.join(F.broadcast(weighted), "term")
-    part = F.col("w") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    part = F.col("w") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(index.avgdl or 1.0)))
     return hit.groupBy("query_id", "chunk_id").agg(F.sum(part).alias("bm25"))
 
 
@@ -100,15 +100,14 @@ def tfidf_vectors(texts: DataFrame) -> DataFrame:
     tokens = texts.select("chunk_id", F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)).alias("t")).withColumn("n", F.size("t"))
     tf = tokens.select("chunk_id", "n", F.explode("t").alias("term")).groupBy("chunk_id", "term", "n").agg(F.count("*").alias("c"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    total = texts.agg(F.count("*").alias("total"))
-    weighted = tf.join(df, "term").join(F.broadcast(total), how="cross")
-    return weighted.select("chunk_id", "term", (F.col("c") / F.col("n") * F.log(F.col("total") / F.col("df"))).alias("weight"))
+    total = texts.count()
+    return tf.join(df, "term").select("chunk_id", "term", (F.col("c") / F.col("n") * F.log(F.lit(total) / F.col("df"))).alias("weight"))
 
 
 def sparse_cosine(vectors: DataFrame, query_id: int) -> DataFrame:
     """(chunk_id, cosine) of every chunk with a term to the vector of one chunk; 0 beside a zero vector."""
     q = vectors.where(F.col("chunk_id") == query_id).select("term", F.col("weight").alias("q"))
-    qn = q.agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("qn"))
+    qn = q.agg(F.sqrt(F.sum(F.col("q") * F.col("q")))).first()[0] or 0.0
     per = vectors.join(F.broadcast(q), "term", "left").groupBy("chunk_id").agg(F.sum(F.col("weight") * F.coalesce("q", F.lit(0.0))).alias("dot"), F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("n"))
-    norm = F.col("n") * F.col("qn")
-    return per.join(F.broadcast(qn), how="cross").select("chunk_id", F.when(norm > 0, F.col("dot") / norm).otherwise(0.0).alias("cosine"))
+    norm = F.col("n") * F.lit(qn)
+    return per.select("chunk_id", F.when(norm > 0, F.col("dot") / norm).otherwise(0.0).alias("cosine"))

@@ -14,15 +14,22 @@ from corpusloom.operators import ranking as R
 from corpusloom.operators.vectors import nearest
 from corpusloom.plans import search as P
 from corpusloom.plans.config import defaults
-from corpusloom.runtime import materialise, table
+from corpusloom.runtime import materialise, spread
+from corpusloom.runtime import table as stored
 
 QUERIES_TYPED = [Query("q1", "thermal membrane of the synthetic estuary"), Query("q2", "archival lattice & porous kiln?"), Query("q3", "zzzz unseen")]
 QUOTE = Query("q4", "Earlier work revealed the resilient loom")
 NOW = "2024-01-01 00:00:00"
 
 
+def _table(s: SparkSession, d: str, name: str) -> DataFrame:
+    """The tables of long texts over all cores, the others as they are stored."""
+    df = stored(s, d, name)
+    return spread(df) if name in ("chunk", "documents") else df
+
+
 def _chunk(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "chunk").where(F.col("text").isNotNull() & (F.col("text") != ""))
+    return _table(s, d, "chunk").where(F.col("text").isNotNull() & (F.col("text") != ""))
 
 
 def _rounded(c, name: str, n: int = 6):
@@ -31,12 +38,12 @@ def _rounded(c, name: str, n: int = 6):
 
 def tokenize_terms(s, d):
     t = T.tokenize(F.col("text"))
-    return table(s, d, "chunk").select("chunk_id", F.size(t).cast("long").alias("n_terms"), F.array_join(t, " ").alias("terms"))
+    return _table(s, d, "chunk").select("chunk_id", F.size(t).cast("long").alias("n_terms"), F.array_join(t, " ").alias("terms"))
 
 
 def rerank_tokens(s, d):
     t = T.rerank_tokens(F.col("text"))
-    return table(s, d, "chunk").select("chunk_id", F.array_join(t, " ").alias("tokens"))
+    return _table(s, d, "chunk").select("chunk_id", F.array_join(t, " ").alias("tokens"))
 
 
 def term_freq(s, d):
@@ -79,7 +86,7 @@ def metadata_bonus(s, d):
 
 
 def gibberish_penalty(s, d):
-    return _chunk(s, d).select("chunk_id", _rounded(S.gibberish_penalty(F.col("text"), T.words(F.col("text")), 0.02), "factor"))
+    return _chunk(s, d).select("chunk_id", _rounded(S.gibberish_penalty(F.col("text"), S.flat(F.col("text")), 0.02), "factor"))
 
 
 def fuzzy_match(s, d):
@@ -157,23 +164,23 @@ def flagship_search(s, d):
 
 
 def snippet(s, d):
-    return table(s, d, "chunk").select("chunk_id", T.snippet(F.col("text"), 120).alias("snippet"))
+    return _table(s, d, "chunk").select("chunk_id", T.snippet(F.col("text"), 120).alias("snippet"))
 
 
 def dedup_chunks(s, d):
-    return M.deduplicate(table(s, d, "chunk").select("chunk_id", "text")).select("chunk_id")
+    return M.deduplicate(_table(s, d, "chunk").select("chunk_id", "text")).select("chunk_id")
 
 
 def text_hash(s, d):
-    return table(s, d, "chunk").select("chunk_id", T.text_hash(F.col("text")).alias("sha256"))
+    return _table(s, d, "chunk").select("chunk_id", T.text_hash(F.col("text")).alias("sha256"))
 
 
 def quality_filter(s, d):
-    return table(s, d, "chunk").where(T.quality_good(F.col("text"))).select("chunk_id")
+    return _table(s, d, "chunk").where(T.quality_good(F.col("text"))).select("chunk_id")
 
 
 def clean_text(s, d):
-    return T.clean_text(table(s, d, "chunk").select("chunk_id", "text"), "text")
+    return T.clean_text(_table(s, d, "chunk").select("chunk_id", "text"), "text")
 
 
 def sentence_split(s, d):
@@ -181,7 +188,7 @@ def sentence_split(s, d):
 
 
 def sliding_chunks(s, d):
-    pages = table(s, d, "documents").select("doc_id", "source", "page", "text")
+    pages = _table(s, d, "documents").select("doc_id", "source", "page", "text")
     return T.chunks_of_pages(pages).select("doc_id", "page", F.col("chunk_ord").cast("long").alias("chunk_ord"), "text")
 
 
@@ -196,7 +203,7 @@ def citation_strings(s, d):
 
 
 def citekeys(s, d):
-    files = table(s, d, "docmeta").groupBy("source").agg(F.min("doc_id").alias("first_doc"))
+    files = _table(s, d, "docmeta").groupBy("source").agg(F.min("doc_id").alias("first_doc"))
     return M.unique_citekeys(files, "first_doc")
 
 
@@ -206,66 +213,66 @@ def _order():
 
 
 def biblio_by_file(s, d):
-    b = M.biblio_by_file(table(s, d, "biblio"), _order())
-    return b.select("key", "citekey", "title", F.col("year").cast("long").alias("year"), "doi")
+    b = M.biblio_by_file(_table(s, d, "biblio"), _order())
+    return b.select("key", "citekey", "title", F.col("year").cast("string").alias("year"), "doi")
 
 
 def biblio_by_doi(s, d):
-    b = M.biblio_by_doi(table(s, d, "biblio"), _order())
-    return b.select("key", "citekey", "title", F.col("year").cast("long").alias("year"), "pdf_file")
+    b = M.biblio_by_doi(_table(s, d, "biblio"), _order())
+    return b.select("key", "citekey", "title", F.col("year").cast("string").alias("year"), "pdf_file")
 
 
 def biblio_authors(s, d):
-    b = M.biblio_by_file(table(s, d, "biblio"), _order())
+    b = M.biblio_by_file(_table(s, d, "biblio"), _order())
     return b.select("key", F.array_join(M.names(F.col("authors")), "; ").alias("authors"))
 
 
 def _docs(s, d):
-    return table(s, d, "docmeta").select("doc_id", "source", F.col("doi").alias("sniffed_doi"))
+    return _table(s, d, "docmeta").select("doc_id", "source", F.col("doi").alias("sniffed_doi"))
 
 
 def biblio_enrich(s, d):
-    b = table(s, d, "biblio")
+    b = _table(s, d, "biblio")
     out = M.enrich(_docs(s, d), M.biblio_by_file(b, _order()), M.biblio_by_doi(b, _order()))
-    return out.select("doc_id", "matched", "biblio_citekey", F.col("biblio_year").cast("long").alias("biblio_year"), "biblio_doi")
+    return out.select("doc_id", "matched", "biblio_citekey", F.col("biblio_year").cast("string").alias("biblio_year"), "biblio_doi")
 
 
 def biblio_fill(s, d):
-    docs = table(s, d, "docmeta").select("doc_id", "source", "title", "year", "doi", "citekey")
-    return M.fill_blanks(docs, M.biblio_by_file(table(s, d, "biblio"), _order())).select("doc_id", "title", F.col("year").cast("long").alias("year"), "doi", "citekey")
+    docs = _table(s, d, "docmeta").select("doc_id", "source", "title", "year", "doi", "citekey")
+    return M.fill_blanks(docs, M.biblio_by_file(_table(s, d, "biblio"), _order())).select("doc_id", "title", F.col("year").cast("string").alias("year"), "doi", "citekey")
 
 
 def doi_collection(s, d):
     docs = P.chunk_corpus(s, d).groupBy("doc_id", "source").agg(F.min_by("text", "chunk_id").alias("text"))
-    return M.collected_doi(docs, M.biblio_by_file(table(s, d, "biblio"), _order()))
+    return M.collected_doi(docs, M.biblio_by_file(_table(s, d, "biblio"), _order()))
 
 
 def doi_cache_upsert(s, d):
-    c = M.latest_replies(table(s, d, "doi_cache"))
+    c = M.latest_replies(_table(s, d, "doi_cache"))
     return c.select("doi", F.col("crossref").isNotNull().alias("has_crossref"), F.col("openalex").isNotNull().alias("has_openalex"), F.col("unpaywall").isNotNull().alias("has_unpaywall"), F.unix_micros("updated_at").alias("updated_us"))
 
 
 def doi_cache_fresh(s, d):
-    c = M.latest_replies(table(s, d, "doi_cache"))
+    c = M.latest_replies(_table(s, d, "doi_cache"))
     return c.select("doi", M.fresh(F.col("updated_at"), F.lit(NOW).cast("timestamp"), 200 * 86_400).alias("fresh"))
 
 
 def metadata_merge(s, d):
     """Replies of one time and service may differ; only what all of them agree on is compared with SQL."""
-    m = M.merged_metadata(M.latest_replies(table(s, d, "doi_cache")))
-    return m.select("doi", "title", F.col("year").cast("long").alias("year"), "venue", "oa_url")
+    m = M.merged_metadata(M.latest_replies(_table(s, d, "doi_cache")))
+    return m.select("doi", "title", F.col("year").cast("string").alias("year"), "venue", "oa_url")
 
 
 def citekey_propagation(s, d):
-    return M.propagated_citekey(table(s, d, "docmeta").select("doc_id", "source", "citekey"), "doc_id").select("doc_id", "citekey")
+    return M.propagated_citekey(_table(s, d, "docmeta").select("doc_id", "source", "citekey"), "doc_id").select("doc_id", "citekey")
 
 
 def drop_unknown(s, d):
-    return M.known_only(table(s, d, "docmeta")).select("doc_id")
+    return M.known_only(_table(s, d, "docmeta")).select("doc_id")
 
 
 def _scans(s, d):
-    m = table(s, d, "manifest")
+    m = _table(s, d, "manifest")
     cut = m.agg((F.min(F.unix_micros("scanned_at")) + (F.max(F.unix_micros("scanned_at")) - F.min(F.unix_micros("scanned_at"))) / 2).cast("long").alias("c")).first()["c"]
     return M.latest_scan(m, F.timestamp_micros(F.lit(cut))), M.latest_scan(m, F.timestamp_micros(F.lit(2**52)))
 
@@ -275,7 +282,7 @@ def manifest_diff(s, d):
 
 
 def incremental_merge(s, d):
-    cached = table(s, d, "chunk").select("chunk_id", "source").where(F.col("chunk_ord") >= 0)
+    cached = _table(s, d, "chunk").select("chunk_id", "source").where(F.col("chunk_ord") >= 0)
     diff = M.manifest_diff(*_scans(s, d))
     touched = diff.where(F.col("change").isin("new", "changed")).select(F.col("path"))
     new = M.filter_by_files(cached, touched)
@@ -283,26 +290,26 @@ def incremental_merge(s, d):
 
 
 def collections(s, d):
-    m = table(s, d, "manifest").where(F.lower("path").endswith(".pdf"))
+    m = _table(s, d, "manifest").where(F.lower("path").endswith(".pdf"))
     folder = F.when(F.contains("path", F.lit("/")), F.regexp_replace("path", "/[^/]*$", "")).otherwise("")
     return m.select(folder.alias("folder"), "path").groupBy("folder").agg(F.countDistinct("path").alias("files"))
 
 
 def file_text_hash(s, d):
     """One hash per file over its chunks in order; a file's chunks are bounded by its pages."""
-    c = table(s, d, "chunk").where(F.col("text").isNotNull())
+    c = _table(s, d, "chunk").where(F.col("text").isNotNull())
     per = c.groupBy("source").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_id", F.sha2("text", 256).alias("h")))), lambda x: x["h"]), ""), 256).alias("sha256"))
     return per
 
 
 def corpus_diagnostics(s, d):
-    c = table(s, d, "chunk")
+    c = _table(s, d, "chunk")
     return c.agg(F.count("*").alias("chunks"), F.count_if(F.col("text").isNull()).alias("no_text"), F.countDistinct("source").alias("files"), F.count_if(F.length("text") < 20).alias("stubs"), F.sum(F.length("text")).alias("characters"))
 
 
 def api_json_parse(s, d):
     k = F.get_json_object("props", "$.k").cast("long")
-    return table(s, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.count(k).alias("parsed"), F.sum(k).alias("total"))
+    return _table(s, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.count(k).alias("parsed"), F.sum(k).alias("total"))
 
 
 def final_sort(s, d):
@@ -313,27 +320,27 @@ def final_sort(s, d):
 
 
 def vector_topk(s, d):
-    e = table(s, d, "embeddings")
+    e = _table(s, d, "embeddings")
     q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
     return nearest(q, e, 10).select("query_id", "rank", "vec_id", _rounded("score", "score", 5))
 
 
 def hybrid_minmax(s, d):
-    e = table(s, d, "embeddings").withColumn("bm25", (F.col("vec_id") * 37 % 101).cast("double")).withColumn("query_id", F.lit(0).cast("long"))
-    q = [r["embedding"] for r in table(s, d, "embeddings").where("vec_id = 0").limit(1).collect()]
+    e = _table(s, d, "embeddings").withColumn("bm25", (F.col("vec_id") * 37 % 101).cast("double")).withColumn("query_id", F.lit(0).cast("long"))
+    q = [r["embedding"] for r in _table(s, d, "embeddings").where("vec_id = 0").limit(1).collect()]
     v = F.array(*[F.lit(float(x)) for x in (q[0] if q else [0.0])])
     return e.select("vec_id", _rounded(0.7 * R.minmax("bm25") + 0.3 * S.cosine(F.col("embedding"), v), "combined", 5))
 
 
 def tfidf_cosine(s, d):
-    docs = table(s, d, "docmeta").where(F.col("title").isNotNull()).select(F.col("doc_id").alias("chunk_id"), F.col("title").alias("text"))
+    docs = _table(s, d, "docmeta").where(F.col("title").isNotNull()).select(F.col("doc_id").alias("chunk_id"), F.col("title").alias("text"))
     v = materialise(I.tfidf_vectors(docs), "tfidf")
     return I.sparse_cosine(v, 1).select("chunk_id", _rounded("cosine", "cosine"))
 
 
 def normalised_vectors(s, d):
     n = S.normalised(F.transform("embedding", lambda x: x * F.lit(3.0)))
-    return table(s, d, "embeddings").select("vec_id", _rounded(F.aggregate(n, F.lit(0.0), lambda a, x: a + x * x), "norm", 4))
+    return _table(s, d, "embeddings").select("vec_id", _rounded(F.aggregate(n, F.lit(0.0), lambda a, x: a + x * x), "norm", 4))
 
 
 QUERIES = {k: f for k, f in list(globals().items()) if callable(f) and getattr(f, "__module__", "") == __name__ and not k.startswith("_")}

@@ -1,4 +1,4 @@
-"""The search: BM25 and bonuses, candidate pool, ranked runs, fusion, diversity, citations; one lazy plan for all queries."""
+"""The search: BM25 and bonuses, candidate pool, ranked runs, fusion, diversity, citations; one plan for all queries."""
 
 from __future__ import annotations
 
@@ -14,13 +14,13 @@ from corpusloom.operators import index as I
 from corpusloom.operators import ranking as R
 from corpusloom.operators.metadata import author_date_citation, pandoc_citation
 from corpusloom.plans.config import defaults
-from corpusloom.runtime import table
+from corpusloom.runtime import materialise, spread, table
 
 
 def chunk_corpus(spark, d: str) -> DataFrame:
     """Chunks that have text with their paper's metadata."""
     meta = table(spark, d, "docmeta").select("doc_id", "title", "authors", "year", "doi", "start_page", "citekey")
-    chunk = table(spark, d, "chunk").where(F.col("text").isNotNull() & (F.col("text") != "")).select("chunk_id", "doc_id", "source", "page", "chunk_ord", "text")
+    chunk = spread(table(spark, d, "chunk")).where(F.col("text").isNotNull() & (F.col("text") != "")).select("chunk_id", "doc_id", "source", "page", "chunk_ord", "text")
     return chunk.join(meta, "doc_id", "left")
 
 
@@ -30,7 +30,7 @@ def baseline(corpus: DataFrame, queries: list[Query], scores: DataFrame, cfg: di
     text, ws = F.col("text"), F.col("_words")
     # what doesn't depend on the query is computed once per chunk, before chunks are paired with queries
     own = corpus.withColumn("_flat", S.flat(text)).withColumn("_words", F.when(F.col("_flat") == "", S.strings([])).otherwise(F.split("_flat", " ")))
-    own = own.withColumns({"_pattern": S.pattern_bonus(text), "_meta": S.metadata_bonus(text, F.col("title")), "_penalty": S.gibberish_penalty(text, ws)})
+    own = own.withColumns({"_pattern": S.pattern_bonus(text), "_meta": S.metadata_bonus(text, F.col("title")), "_penalty": S.gibberish_penalty(text, F.col("_flat"))})
     dense = I.for_every_query(own, queries).join(scores, ["query_id", "chunk_id"], "left").withColumn("bm25", F.coalesce("bm25", F.lit(0.0)))
     p, n = cfg["bonuses"]["proximity"], cfg["bonuses"]["ngram"]
 
@@ -69,12 +69,12 @@ def build_runs(pool: DataFrame, queries: list[Query], cfg: dict[str, Any], extra
     return runs
 
 
-def search(corpus: DataFrame, queries: list[Query], cfg: dict[str, Any] | None = None, index: I.Index | None = None, keep: bool = True) -> DataFrame:
+def search(corpus: DataFrame, queries: list[Query], cfg: dict[str, Any] | None = None, index: I.Index | None = None) -> DataFrame:
     """(query_id, rank, chunk_id, doc_id, score, file, page, doi, title, citekey, citation, pandoc, text), at most final_top_k
     rows a query. Queries without a usable word rank by the bonuses alone; an empty corpus or no query gives no row."""
     cfg = cfg or defaults()
     spark = corpus.sparkSession
-    index = index or I.build(corpus, cfg["bm25"]["token_pattern"], keep)
+    index = index or I.build(corpus, cfg["bm25"]["token_pattern"])
     k1, b, k = cfg["bm25"]["k1"], cfg["bm25"]["b"], cfg["rerank"]["final_top_k"]
     terms = I.query_terms(spark, queries)
     extra: list[tuple[int, DataFrame]] = []
@@ -82,7 +82,8 @@ def search(corpus: DataFrame, queries: list[Query], cfg: dict[str, Any] | None =
         grown = I.rm3_terms(index, corpus, queries, cfg["prf"]["fb_docs"], cfg["prf"]["fb_terms"], k1, b).select("query_id", "term", F.lit(1).cast("long").alias("qtf"))
         terms = terms.unionByName(grown)
         extra = [(2, I.bm25(index, terms, k1, b))]
-    pool = pool_of(baseline(corpus, queries, I.bm25(index, terms, k1, b), cfg), cfg["bm25"]["pool_size"])
+    # the corpus is scored once; every run reads the few hundred rows of the pool
+    pool = materialise(pool_of(baseline(corpus, queries, I.bm25(index, terms, k1, b), cfg), cfg["bm25"]["pool_size"]), "pool")
     runs = build_runs(pool, queries, cfg, extra)
     rrf = cfg["fusion"]["rrf"]
     fused = R.rrf_fuse(runs, rrf["C"], rrf["cap"]) if rrf["enabled"] else pool.select("query_id", "chunk_id", F.col("pool_rank").alias("fused_pos"))

@@ -240,10 +240,10 @@ select chunk_id, unnest(range(len(s))) as pos, unnest(s) as sentence from f""",
 k as (select source, o, lower(substr(regexp_split_to_array(regexp_replace(source, '([^.])\\.[^.]*$', '\\1'), '[ ,_]')[1], 1, 15)) as base from f),
 n as (select *, row_number() over (partition by base order by o) as n from k)
 select source, base || case when n = 1 then '' when n <= 27 then '-' || chr(cast(n + 95 as integer)) else '-z' || (n - 27) end as citekey from n""".replace("\\\\", "\\"),
-    "biblio_by_file": f"with {_BY_FILE} select key, citekey, title, cast(year as bigint) as year, doi from by_file",
-    "biblio_by_doi": f"with {_BY_DOI} select key, citekey, title, cast(year as bigint) as year, pdf_file from by_doi",
-    "biblio_enrich": f"with {_BY_FILE}, {_BY_DOI} select m.doc_id, case when f.key is not null then 'file' when d.key is not null then 'doi' else 'none' end as matched, case when f.key is not null then f.citekey else d.citekey end as biblio_citekey, cast(case when f.key is not null then f.year else d.year end as bigint) as biblio_year, case when f.key is not null then f.doi when d.key is not null then m.doi end as biblio_doi from docmeta m left join by_file f on lower(split_part(m.source, '/', -1)) = f.key left join by_doi d on lower(m.doi) = d.key",
-    "biblio_fill": f"with {_BY_FILE} select m.doc_id, coalesce(nullif(m.title, ''), f.title) as title, cast(coalesce(m.year, f.year) as bigint) as year, coalesce(nullif(m.doi, ''), f.doi) as doi, coalesce(nullif(m.citekey, ''), f.citekey) as citekey from docmeta m left join by_file f on lower(split_part(m.source, '/', -1)) = f.key",
+    "biblio_by_file": f"with {_BY_FILE} select key, citekey, title, cast(year as varchar) as year, doi from by_file",
+    "biblio_by_doi": f"with {_BY_DOI} select key, citekey, title, cast(year as varchar) as year, pdf_file from by_doi",
+    "biblio_enrich": f"with {_BY_FILE}, {_BY_DOI} select m.doc_id, case when f.key is not null then 'file' when d.key is not null then 'doi' else 'none' end as matched, case when f.key is not null then f.citekey else d.citekey end as biblio_citekey, cast(case when f.key is not null then f.year else d.year end as varchar) as biblio_year, case when f.key is not null then f.doi when d.key is not null then m.doi end as biblio_doi from docmeta m left join by_file f on lower(split_part(m.source, '/', -1)) = f.key left join by_doi d on lower(m.doi) = d.key",
+    "biblio_fill": f"with {_BY_FILE} select m.doc_id, coalesce(nullif(m.title, ''), f.title) as title, cast(coalesce(m.year, f.year) as varchar) as year, coalesce(nullif(m.doi, ''), f.doi) as doi, coalesce(nullif(m.citekey, ''), f.citekey) as citekey from docmeta m left join by_file f on lower(split_part(m.source, '/', -1)) = f.key",
     "doi_collection": rf"with {_CORPUS}, {_BY_FILE}, d as (select doc_id, source, arg_min(text, chunk_id) as text from corpus group by doc_id, source) select doc_id, coalesce(nullif(f.doi, ''), nullif(regexp_replace(regexp_extract(d.text, '{C.DOI}'), '[\]).,;]+$', ''), '')) as doi from d left join by_file f on lower(split_part(d.source, '/', -1)) = f.key where coalesce(nullif(f.doi, ''), nullif(regexp_replace(regexp_extract(d.text, '{C.DOI}'), '[\]).,;]+$', ''), '')) is not null",
     "doi_cache_upsert": f"with {_LATEST} select doi, crossref is not null as has_crossref, openalex is not null as has_openalex, unpaywall is not null as has_unpaywall, epoch_us(updated_at) as updated_us from latest",
     "doi_cache_fresh": f"with {_LATEST} select doi, coalesce(epoch_us(timestamptz '{NOW}+00') - epoch_us(updated_at) < {200 * 86_400_000_000}, false) as fresh from latest",

@@ -46,3 +46,10 @@ atexit.register(_delete_written)
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores if it comes in fewer partitions than half of them, as a table of one small file does; a table of many
+    files stays where it is. For plans that spend long on each row."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 < cores else df

@@ -104,7 +104,7 @@ def test_ngram_pattern_metadata(spark):
 
 
 def test_gibberish(spark):
-    f = lambda x: S.gibberish_penalty(F.col("t"), T.words(F.col("t")), x)
+    f = lambda x: S.gibberish_penalty(F.col("t"), S.flat(F.col("t")), x)
     text = "a" * 13 + " " + "123 " * 1 + "b" * 2
     assert col(spark, ["short", text, None, "ordinary words and nothing else here"], f(0.2))[0] == 1.0
     # one number counts as line number and as digit word: 6 of 20 characters
