@@ -194,6 +194,18 @@ def test_scans(spark):
     assert S.defects_of(df.limit(0), m).count() == 0
 
 
+def test_series_head_on_a_missed_scan(spark):
+    rows, meta, truth = scanned_corpus(2)
+    headless = [i for i, k in truth.items() if "running_head" not in k][:12]
+    put = {i: "Annals of the Weir" for i in headless[:6]} | {i: "Typeset in Teita on rag paper" for i in headless[6:]}
+    rows = [(i, s, f"{put[i]}\n{t}" if i in put else t) for i, s, t in rows]
+    # one scan that is_scanned rejects has the head; the notice stands on pages that are no scans as well
+    rows += [(1000, "s1", f"Annals of the Weir\n{rows[1][2]}")] + [(1001 + k, "s1", f"Typeset in Teita on rag paper\n{rows[2][2]}") for k in range(8)]
+    m = spark.createDataFrame(meta, "doc_id long, title string, venue string, authors array<string>")
+    got = {r.chunk_id for r in S.defects_of(chunks(spark, rows), m).where("defect = 'running_head'").collect()}
+    assert set(headless[:6]) <= got and not set(headless[6:]) & got
+
+
 def test_line_ends_and_numbers():
     assert [S.number_shape(x) != "" for x in ("12", "[12]", "- 12 -", "Seite 3", "p. 3 of 9", "12/198", "xxiv", "lO5", ". 112", "Fig. 6", "* * *", "mix")] == [True] * 9 + [False] * 3
     assert S.slip_fixes("reegional") >= {"regional"} and "regional" in S.possible_words("regiona1")
