@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.runtime import materialise
@@ -22,8 +22,10 @@ from corpusloom.runtime import materialise
 _WORDS = re.compile("[A-Za-z0-9]+")
 #: Slots to a block and blocks; at 70 % common shingles a pair misses every block with probability 0.76 ** 25 = 0.001.
 ROWS, BLOCKS = 4, 25
-#: Texts of one block that are paired directly; a larger block is split by what else its texts have in common.
+#: Texts of one block that are paired directly; those of larger blocks are paired by their rarest shingles.
 HOT = 300
+#: Tasks among which the pairs of one shingle are split when more than HOT texts have it.
+SALT = 16
 _A = (np.random.default_rng(7).integers(1, 2**32, ROWS * BLOCKS, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
 _C = np.random.default_rng(8).integers(0, 2**32, ROWS * BLOCKS, dtype=np.uint64).astype(np.uint32)
 _P1, _P2, _P3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -155,7 +157,7 @@ def pairs_in_blocks(members: DataFrame, hot: int) -> DataFrame:
                     if len(held) > 1 and (done := close()):
                         yield done
                     current, held, over = int(blocks[s]), [], False
-                if e - s == 1 and not held and k + 1 < len(cut):
+                if e - s == 1 and not held and not over and k + 1 < len(cut):
                     continue
                 held += batch.column(1).slice(s, e - s).to_pylist()
                 if over or len(held) > hot:
@@ -199,6 +201,34 @@ def _exact(df: DataFrame, size: int, similarity: float) -> DataFrame:
     return df.mapInArrow(run, f"a {kind}, b {kind}")
 
 
+def pairs_by_rare_shingles(texts: DataFrame, size: int, similarity: float, hot: int) -> DataFrame:
+    """texts (_id, _text) -> (a, b): no pair with at least that share of common shingles is left out. Each text's shingles are
+    put in one order, rare ones first; of a text with n of them at least similarity * n are common to such a pair, so both
+    have a common one among their first n - ceil(similarity * n) + 1."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words: dict[str, int] = {}
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 2000):
+                b = batch.slice(lo, 2000)
+                owner, h = shingles(b.column(1).to_pylist(), size, words)
+                n = np.bincount(owner, minlength=b.num_rows)[owner]
+                yield pa.record_batch([b.column(0).take(pa.array(owner)), b.column(2).take(pa.array(owner)), pa.array(n.astype(np.int32)), pa.array(h.view(np.int64))], ["_id", "_key", "n", "block"])
+
+    rows = texts.select("_id", "_text", F.xxhash64("_text").alias("_key")).where(F.length("_text") > 0)
+    every = materialise(rows.mapInArrow(run, f"_id {dict(rows.dtypes)['_id']}, _key long, n int, block long"), "rare")
+    counted = every.join(every.groupBy("block").agg(F.countDistinct("_id").alias("c")), "block")
+    place = F.row_number().over(Window.partitionBy("_id", "_key").orderBy("c", "block"))
+    first = counted.distinct().withColumn("_place", place).where((F.col("_place") <= F.col("n") - F.ceil(similarity * F.col("n") - 1e-6) + 1) & (F.col("c") > 1))
+    met = materialise(pairs_in_blocks(first.select("block", "_id").distinct(), hot), "rarepairs")
+    # a shingle that is among the rarest of many texts is common to near-copies: these are paired in full, in SALT tasks
+    rest = met.where("b is null").select("a", "block")
+    salt = F.array(*[F.lit(k) for k in range(SALT)])
+    left = rest.withColumn("_salt", F.pmod(F.xxhash64("a"), F.lit(SALT)).cast("int"))
+    full = left.join(rest.select(F.col("a").alias("b"), "block", F.explode(salt).alias("_salt")), ["block", "_salt"]).where("a < b").select("a", "b")
+    return met.where("b is not null").select("a", "b").unionByName(full)
+
+
 def similar_classes(df: DataFrame, id_col: str, text_col: str, *, size: int = 5, similarity: float = 0.8, min_shingles: int = 1, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
     """(classes, links). classes (_id, rep): texts with equal sets of shingles, named by their least id; links (a, b), a < b:
     representatives whose sets have at least that share in common. Null texts and texts with fewer than min_shingles
@@ -209,14 +239,9 @@ def similar_classes(df: DataFrame, id_col: str, text_col: str, *, size: int = 5,
     reps = prints.join(member.where("_id != rep").select("_id"), "_id", "left_anti")
     found = materialise(pairs_in_blocks(reps.select(F.explode("blocks").alias("block"), "_id"), hot), "candidates")
     pairs = found.where("b is not null").select("a", "b")
-    crowded = found.where("b is null").select(F.col("a").alias("_id"), F.col("block").alias("_first"))
+    crowded = found.where("b is null").select(F.col("a").alias("_id")).distinct()
     if not crowded.isEmpty():
-        # members of a crowded block meet again where they share a second block; what is crowded even then are near-copies
-        twice = crowded.join(reps.select("_id", "blocks"), "_id").select("_id", "_first", F.explode("blocks").alias("_second")).where("_first != _second").select(F.xxhash64(F.least("_first", "_second"), F.greatest("_first", "_second")).alias("block"), "_id").distinct()
-        again = materialise(pairs_in_blocks(twice, hot), "candidates")
-        rest = again.where("b is null").select(F.col("a").alias("_id"), "block")
-        full = rest.join(rest.select(F.col("_id").alias("b"), "block"), "block").where("_id < b").select(F.col("_id").alias("a"), "b")
-        pairs = pairs.unionByName(again.where("b is not null").select("a", "b")).unionByName(full)
+        pairs = pairs.unionByName(pairs_by_rare_shingles(df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(crowded, "_id", "left_semi"), size, similarity, hot))
     slots = ROWS * BLOCKS
     least_same = int(slots * similarity - 6 * (slots * similarity * (1 - similarity)) ** 0.5)  # six standard deviations below
     fp = prints.select("_id", "fp")

@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from corpusloom.llm import mixing as M
@@ -71,6 +72,46 @@ def test_near_duplicates(spark, hot):
     assert ND.similar_pairs(df.where("chunk_id < 3").unionByName(df.where("chunk_id < 3")), "chunk_id", "text", min_shingles=20).where("id_a = id_b").count() == 0
 
 
+def test_pair_that_shares_only_a_crowded_block(spark):
+    rng = random.Random(3)
+    while True:
+        x = [f"w{rng.randrange(10**6)}" for _ in range(100)]
+        y = x[:83] + [f"w{rng.randrange(10**6)}" for _ in range(17)]
+        owner, h = ND.shingles([" ".join(x), " ".join(y)], 3, {})
+        keys = ND.block_keys(ND.fingerprints(h, np.array([0, 98])))
+        if (keys[0] == keys[1]).sum() == 1:
+            break
+    block = set(keys[0][keys[0] == keys[1]].tolist())
+    rows = [(1, " ".join(x)), (2, " ".join(y))]
+    for k in range(2, 100):  # near-copies of x that have the pair's block too
+        z = " ".join(x[:k] + ["changed"] + x[k + 1 :])
+        _, h = ND.shingles([z], 3, {})
+        if len(rows) < 5 and block & set(ND.block_keys(ND.fingerprints(h, np.array([0])))[0].tolist()):
+            rows.append((k + 10, z))
+    df = spark.createDataFrame(rows, "chunk_id long, text string")
+    got = {tuple(r) for r in ND.similar_pairs(df, "chunk_id", "text", size=3, similarity=0.7, min_shingles=20, hot=3).collect()}
+    assert (1, 2) in got and got == brute(rows, 3, 0.7, 20)
+
+
+@pytest.mark.parametrize("hot", [300, 3])
+def test_rare_shingles_leave_no_pair_out(spark, hot):
+    rows = texts(2)
+    df = spark.createDataFrame(rows, "_id long, _text string")
+    got = {tuple(r) for r in ND.pairs_by_rare_shingles(df, 3, 0.7, hot).collect()}
+    assert brute(rows, 3, 0.7, 1) <= got
+
+
+def test_last_member_of_a_crowded_block(spark):
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 5)
+    try:
+        rows = [(1, k) for k in range(6)] + [(b, 100 + b) for b in range(2, 60)]
+        got = ND.pairs_in_blocks(spark.createDataFrame(rows, "block long, _id long"), 4).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+    assert sorted(r.a for r in got) == list(range(6)) and all(r.b is None for r in got)
+
+
 def levenshtein(a, b):
     last = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
