@@ -7,6 +7,8 @@ looks only at what follows the last matched line in chunks that still hold the p
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,14 +28,14 @@ def source_lines(chunks: DataFrame, id_col: str, source_col: str, text_col: str)
 
 def frequent_sequences(
     chunks: DataFrame, id_col: str = "chunk_id", source_col: str = "source", text_col: str = "text", *,
-    min_chars: int = 12, min_chunks: int = 6, min_share: float = 0.15, max_length: int = 6,
+    min_chars: int = 12, min_chunks: int = 6, min_share: float = 0.15, max_length: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(patterns, places). patterns: (_source, _length, _pattern array of line keys, _support); places: the lines
     (_id, _source, _no, _item) that are items of a frequent pattern, single lines included.
 
     A pattern is frequent when it stands, in this order, in at least min_chunks distinct chunks of its source and in at
     least min_share of all rows of that source, rows with null text counted. A source may be null: its rows form one source.
-    Mining ends at max_length lines or when a level has no pattern. No source is gathered into one task: support is
+    Mining ends when a level has no pattern, or at max_length lines if that is given. No source is gathered into one task: support is
     counted by (source, line), combined before the shuffle, and a line's rows come back by joining the few frequent keys.
     """
     lines = source_lines(chunks, id_col, source_col, text_col).where(F.col("_len") >= min_chars)
@@ -49,7 +51,9 @@ def frequent_sequences(
     patterns = first.select("_source", F.lit(1).alias("_length"), F.array("_item").alias("_pattern"), "_support")
     # each chunk's sequence now holds frequent lines only; a projection is (chunk, pattern, place of the earliest match's end)
     projected = places.groupBy("_id", "_source", F.array("_item").alias("_pattern")).agg(F.min("_no").alias("_end"))
-    for length in range(2, max_length + 1):
+    for length in count(2):
+        if max_length is not None and length > max_length:
+            break
         grown = (
             projected.join(places.select("_id", F.col("_no"), F.col("_item")), "_id").where(F.col("_no") > F.col("_end"))
             .groupBy("_id", "_source", F.concat("_pattern", F.array("_item")).alias("_pattern")).agg(F.min("_no").alias("_end"))

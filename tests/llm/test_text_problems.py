@@ -1,5 +1,6 @@
 """Wrong encodings, distinctive terms, repeated lines, look-alikes, scans: brute force, round trips, held-out accuracy, edge cases."""
 
+import math
 import random
 import re
 import unicodedata
@@ -194,6 +195,13 @@ def test_scans(spark):
     assert S.defects_of(df.limit(0), m).count() == 0
 
 
+def test_long_repeated_block(spark):
+    block = "\n".join(f"notice of the {x} house" for x in ("first", "second", "third", "fourth", "fifth", "sixth", "seventh", "eighth"))
+    df = chunks(spark, [(k, "s", f"{block}\nbody of text {'abcdefgh'[k]}") for k in range(8)])
+    got = {(r.length, r.patterns, r.max_support) for r in L.source_report(df).collect()}
+    assert got == {(n, math.comb(8, n), 8) for n in range(1, 9)}
+
+
 def test_series_head_on_a_missed_scan(spark):
     rows, meta, truth = scanned_corpus(2)
     headless = [i for i, k in truth.items() if "running_head" not in k][:12]
