@@ -24,16 +24,17 @@ HYPHENS = [0x2010, 0x2011, 0xFE63, 0xFF0D]
 # Letters of other scripts that look like the Latin letter beside them; they count inside a word that also has Latin letters.
 CYRILLIC = "АA ВB ЕE ЅS ІI ЈJ КK МM НH ОO РP СC ТT УY ХX аa еe ѕs іi јj оo рp сc уy хx һh ԁd ԛq ԝw ӏl ѵv"
 GREEK = "ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX οo νv ιi κk ρp υu αa ϲc ϳj"
-# Greek letters that are ordinary as symbols beside Latin letters ("μm", "α-type"), though they look like Latin ones.
+# Greek letters that are ordinary as symbols beside Latin letters ("νx", "α-type"), though they look like Latin
+# ones; they are stand-ins only between Latin letters, or in a word with three of them.
 GREEK_SYMBOLS = "αικνρυ"
-OTHER = "ıi ɑa ɡg ⅼl"
+OTHER = "ıi ɑa ɡg ⅼl օo սu հh ոn ցg զq ՏS ՕO ᎪA ᏴB ᏟC ᎠD ᎬE ᏀG ᎻH ᎫJ ᏦK ᏞL ᎷM ᏢP ᎡR ᏚS ᎢT ᏙV ᎳW ᏃZ"
 #: Compatibility characters of these decomposition kinds stay: raised and lowered digits, fractions.
 KEPT_KINDS = ("<super>", "<sub>", "<fraction>")
 #: Compatibility ranges that are look-alikes of ordinary characters.
 COMPAT = [(0xFB00, 0xFB07), (0xFF01, 0xFF5F), (0xFFE0, 0xFFE7), (0x1D400, 0x1D800), (0x2100, 0x2150), (0x2160, 0x2180), (0x2460, 0x2500), (0x1F100, 0x1F190), (0x0132, 0x0134), (0x013F, 0x0141), (0x01C4, 0x01CD), (0x01F1, 0x01F4), (0x3200, 0x3400)]
-SPECIAL = {0x212A: "K", 0x212B: "Å", 0x2126: "Ω"}
+SPECIAL = {0x212A: "K", 0x212B: "Å", 0x2126: "Ω", 0x00B5: "μ"}
 KEPT = {0x2103, 0x2109, 0x2116, 0x2122, 0x2120, 0x2105}
-PLAIN, HIDE, MAP, LOOK = 0, 1, 2, 3
+PLAIN, HIDE, MAP, LOOK, SYMBOL = 0, 1, 2, 3, 4
 
 
 @cache
@@ -50,7 +51,7 @@ def tables() -> dict[str, np.ndarray]:
         latin[lo:hi] = True
     latin[[0xD7, 0xF7]] = False
     letter |= latin
-    letter[0x370:0x530] = True
+    letter[0x370:0x590] = letter[0x13A0:0x13F6] = True
     for c in HIDDEN:
         put(c, "", HIDE)
     for c in SPACES:
@@ -66,17 +67,19 @@ def tables() -> dict[str, np.ndarray]:
     for c, to in SPECIAL.items():
         put(c, to, MAP)
     for pair in f"{CYRILLIC} {GREEK} {OTHER}".split():
-        if pair[0] not in GREEK_SYMBOLS:
-            put(ord(pair[0]), pair[1], LOOK)
+        put(ord(pair[0]), pair[1], SYMBOL if pair[0] in GREEK_SYMBOLS else LOOK)
     pairs = {}
     for c in [*range(0xC0, 0x250), *range(0x370, 0x530), *range(0x1E00, 0x2000)]:
         d = unicodedata.decomposition(chr(c)).split()
         if len(d) == 2 and unicodedata.combining(chr(int(d[1], 16))) and unicodedata.normalize("NFC", chr(c)) == chr(c):
             pairs[int(d[0], 16) << 21 | int(d[1], 16)] = c
     keys = np.array(sorted(pairs), np.int64)
-    mark = np.zeros(0x110000, bool)
-    mark[0x300:0x370] = True
-    return {"kind": kind, "start": start, "size": size, "pool": np.array(pool, np.uint32), "latin": latin, "letter": letter, "keys": keys, "composed": np.array([pairs[k] for k in keys], np.uint32), "mark": mark}
+    rank = np.zeros(0x110000, np.uint8)
+    for lo, hi in ((0x300, 0x370), (0x483, 0x488), (0x1AB0, 0x1AFF), (0x1DC0, 0x1E00), (0x20D0, 0x20F1), (0xFE20, 0xFE30)):
+        for c in range(lo, hi):
+            rank[c] = unicodedata.combining(chr(c))
+    mark = rank > 0
+    return {"rank": rank, "kind": kind, "start": start, "size": size, "pool": np.array(pool, np.uint32), "latin": latin, "letter": letter, "keys": keys, "composed": np.array([pairs[k] for k in keys], np.uint32), "mark": mark}
 
 
 def code_points(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -113,23 +116,27 @@ def normalise(points: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
     """(points, bounds, number of replaced characters per text) in the one consistent form.
 
     Order: hidden characters go, stand-ins are expanded, look-alike letters inside a word with Latin letters become
-    Latin, then combining marks are composed with the letter before them as long as a composed letter exists.
+    Latin, then marks on one letter are brought into their canonical order and composed with it as long as a composed
+    letter exists.
     """
     t = tables()
     n = len(bounds) - 1
     kind = t["kind"][points]
     text = np.repeat(np.arange(n), np.diff(bounds))
     hits = np.zeros(n, np.int64)
-    look = np.flatnonzero(kind == LOOK)
+    look = np.flatnonzero(kind >= LOOK)
     if len(look):
         # a word: letters, and what doesn't show between them or hangs on them, within one text
         inside = t["letter"][points] | (kind == HIDE) | t["mark"][points]
         new = np.ones(len(points), bool)
         new[1:] = ~(inside[1:] & inside[:-1] & (text[1:] == text[:-1]))
         word = np.cumsum(new) - 1
-        has = np.zeros(word[-1] + 1, bool)
-        has[word[t["latin"][points]]] = True
-        kind[look[~has[word[look]]]] = PLAIN
+        latin = t["latin"][points]
+        has = np.bincount(word[latin], minlength=word[-1] + 1)
+        between = np.zeros(len(points), bool)
+        between[1:-1] = latin[:-2] & latin[2:] & (word[:-2] == word[2:])
+        real = np.where(kind[look] == LOOK, has[word[look]] > 0, (has[word[look]] >= 3) | between[look])
+        kind[look[~real]] = PLAIN
     changed = kind != PLAIN
     np.add.at(hits, text[changed], 1)
     if changed.any():
@@ -145,6 +152,10 @@ def normalise(points: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
             out[at[rep] + step] = t["pool"][t["start"][points[rep]] + step]
         points, bounds = out, at[bounds]
         text = np.repeat(np.arange(n), np.diff(bounds))
+    rank = t["rank"][points]
+    if ((rank[1:] > 0) & (rank[1:] < rank[:-1]) & (text[1:] == text[:-1])).any():
+        begin = np.cumsum((rank == 0) | np.append(True, text[1:] != text[:-1]))
+        points = points[np.lexsort((rank, begin))]
     while len(points) > 1 and t["mark"][points].any():
         place = np.flatnonzero(t["mark"][points])
         place = place[place > 0]

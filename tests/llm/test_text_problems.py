@@ -116,6 +116,18 @@ def test_lookalikes():
     assert out == ordinary and not any(hits)
 
 
+def test_lookalikes_of_units_symbols_and_marks():
+    def form(*xs):
+        points, bounds, hits = V.normalise(*V.code_points(pa.array(xs)))
+        return list(zip(V.to_arrow(points, bounds, None).to_pylist(), hits.tolist()))
+
+    assert form("388 \u00b5m", "388 \u03bcm") == [("388 \u03bcm", 1), ("388 \u03bcm", 0)]
+    assert form("\u03b1-type", "w\u03b1ter", "\u0585kay", "\u0540\u0561\u0575") == [("\u03b1-type", 0), ("water", 1), ("okay", 1), ("\u0540\u0561\u0575", 0)]
+    # marks in either order come out as one letter
+    (a, n), (b, m) = form("a\u0323\u0302", "a\u0302\u0323")
+    assert a == b == "\u1ead" and n and m
+
+
 def test_lookalikes_table(spark):
     rng = random.Random(5)
     alphabet = "abc é́̈ａ​ оοﬁ—½Река"
