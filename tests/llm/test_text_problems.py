@@ -226,6 +226,17 @@ def test_series_head_on_a_missed_scan(spark):
     assert set(headless[:6]) <= got and not set(headless[6:]) & got
 
 
+def test_confusions_are_learned():
+    lexicon = [a + b for a in ("member", "hunter", "summer", "modern", "lumber", "number") for b in ("", "ship", "less", "ful", "able")]
+    scans = {w.replace("m", "rn", 1): {("rn", "m"): 9.0, ("r", "s"): 1.0} for w in lexicon if "m" in w}
+    typed = {w[1:] + w[0]: {("ab", "c"): 1.0} for w in lexicon}
+    got = S.confusions(scans | typed, typed)
+    assert set(got) == {("rn", "m")}
+    assert [S.edit_kind(*e) for e in (("c", "e"), ("rn", "m"), ("m", "rn"))] == ["replace", "delete", "insert"]
+    # two edits in a long word are looked up however many single ones it allows
+    assert "commemoration" in S.possible_words("cornmernoration", (("rn", "m"), ("c", "e"), ("o", "c"), ("a", "o"), ("t", "l"), ("i", "j")))
+
+
 def test_line_ends_and_numbers():
     assert [S.number_shape(x) != "" for x in ("12", "[12]", "- 12 -", "Seite 3", "p. 3 of 9", "12/198", "xxiv", "lO5", ". 112", "Fig. 6", "* * *", "mix")] == [True] * 9 + [False] * 3
-    assert S.slip_fixes("reegional") >= {"regional"} and "regional" in S.possible_words("regiona1")
+    assert S.slip_fixes("reegional") >= {"regional"} and "regional" in S.possible_words("regiona1", (("1", "l"),))
