@@ -80,8 +80,16 @@ def p7_clean(spark: SparkSession, d: str) -> DataFrame:
     return a.unionByName(b)
 
 
+def _settings(df: DataFrame, most: int = 10_000) -> list:
+    """The rows of a fixed table of settings; one that is larger than such tables are is an error, not cut off."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a table of settings has more than {most} rows")
+    return rows
+
+
 def _plans(spark: SparkSession, d: str) -> list[tuple[str, int]]:
-    return [(r["plan"], r["capacity_tokens"]) for r in table(spark, d, "pack_plan").orderBy("plan").limit(1000).collect()]  # a fixed table of plans
+    return [(r["plan"], r["capacity_tokens"]) for r in _settings(table(spark, d, "pack_plan").orderBy("plan"))]
 
 
 def p8_pack(spark: SparkSession, d: str) -> DataFrame:
@@ -94,14 +102,14 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _targets(spark: SparkSession, d: str) -> list[tuple[str, float, int | None]]:
-    return [(r["source"], r["target_share"], r["max_repeats"]) for r in table(spark, d, "mix_target").orderBy("source").limit(10_000).collect()]  # a fixed table of sources
+    return [(r["source"], r["target_share"], r["max_repeats"]) for r in _settings(table(spark, d, "mix_target").orderBy("source"))]
 
 
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
     targets = _targets(spark, d)
     docs = table(spark, d, "documents").where(F.col("source").isin([t[0] for t in targets]))
     sizes = materialise(tokens.token_counts(docs, "doc_id", "text", also=("source",)), "sizes")
-    return mixing.mix(sizes, targets)
+    return mixing.mix(sizes, targets, exact_shares=False)
 
 
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:

@@ -209,6 +209,41 @@ def test_mixing(spark):
     assert M.mix(df.limit(0), targets).count() == 0 and M.mix(df, []).count() == 0
 
 
+def test_mixing_gives_all_that_caps_allow(spark):
+    rng = random.Random(8)
+    df = spark.createDataFrame([(i, "abc"[i % 10 // 4 if i % 10 < 8 else 2], rng.randint(20, 200)) for i in range(2_000)], "doc_id long, source string, n_tokens long")
+    have = {r.source: r.n for r in df.groupBy("source").agg({"n_tokens": "sum"}).withColumnRenamed("sum(n_tokens)", "n").collect()}
+    targets = [("a", 0.5, 1), ("b", 0.2, None), ("c", 0.3, 1)]
+    got = M.mix(df, targets, block_tokens=400, exact_shares=False).collect()
+    need = {s: min(p * sum(have.values()), (c or 99) * have[s]) for s, p, c in targets}
+    tokens = Counter()
+    for r in got:
+        tokens[r.source] += r.n_tokens
+    assert all(need[s] <= tokens[s] < need[s] + 200 for s in need)
+    assert max(Counter((r.source, r.doc_id) for r in got if r.source != "b").values()) == 1
+    assert len({(r.source, r.offset) for r in got}) == len(got)
+
+
+def test_schedule_in_periods(spark):
+    for seed in range(6):
+        rng = random.Random(seed)
+        blocks = {f"s{k}": rng.choice([1, 3, 40, 700, rng.randint(1, 3_000)]) for k in range(8)}
+        total = sum(blocks.values())
+        for shortest in (16, 64, 100_000):
+            p = M.Periods(blocks, shortest=shortest)
+            plan = [x for k in range(p.count) for x in p.plan(k)]
+            assert [x[0] for x in plan] == list(range(total))
+            done = Counter()
+            for t, s, j in plan:
+                assert done[s] == j  # blocks of a source in their order
+                done[s] += 1
+                assert all(abs(done[x] - blocks[x] * (t + 1) / total) < 2 for x in blocks)  # quanta, half a block each
+            assert done == blocks
+    one = {(r.slot, r.source, r.block) for r in M.slots_of(spark, {"a": 60, "b": 30}, shortest=8).collect()}
+    assert len(one) == 90 and {s for s, *_ in one} == set(range(90))
+    assert M.slots_of(spark, {}).count() == 0
+
+
 def spans(rows, span):
     at = defaultdict(set)
     for i, t in rows:
