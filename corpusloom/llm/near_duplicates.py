@@ -24,8 +24,10 @@ _WORDS = re.compile("[A-Za-z0-9]+")
 ROWS, BLOCKS = 4, 25
 #: Texts of one block that are paired directly; those of larger blocks are paired by their rarest shingles.
 HOT = 300
-#: Tasks among which the pairs of one shingle are split when more than HOT texts have it.
+#: Tasks among which the pairs of one shingle or of one group of copies are split.
 SALT = 16
+#: A block that this many texts of one task share, 2,000 texts at a time, is taken out before blocks are shuffled.
+OFTEN = 64
 _A = (np.random.default_rng(7).integers(1, 2**32, ROWS * BLOCKS, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
 _C = np.random.default_rng(8).integers(0, 2**32, ROWS * BLOCKS, dtype=np.uint64).astype(np.uint32)
 _P1, _P2, _P3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -169,6 +171,26 @@ def pairs_in_blocks(members: DataFrame, hot: int) -> DataFrame:
     return members.repartition("block").sortWithinPartitions("block").mapInArrow(run, f"a {dict(members.dtypes)['_id']}, b {dict(members.dtypes)['_id']}, block long")
 
 
+def crowds(prints: DataFrame) -> DataFrame:
+    """(block, n): blocks that many texts of one batch share, told before anything is shuffled. Which crowded blocks are found
+    here decides how their texts travel only: they are paired by their rarest shingles, as those of other crowded blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            key, n = np.unique(b.column(0).flatten().to_numpy(), return_counts=True)
+            sel = n >= OFTEN
+            yield pa.record_batch([pa.array(key[sel]), pa.array(n[sel])], ["block", "n"])
+
+    return prints.select("blocks").mapInArrow(run, "block long, n long").groupBy("block").agg(F.sum("n").alias("n"))
+
+
+def paired(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """(x, y) of left (x, key) and right (y, key) with equal keys; a key that many rows have is split among SALT tasks."""
+    salted = left.withColumn("_salt", F.pmod(F.xxhash64("x"), F.lit(SALT)).cast("int"))
+    copied = right.withColumn("_salt", F.explode(F.array(*[F.lit(k) for k in range(SALT)])))
+    return salted.join(copied, [key, "_salt"]).select("x", "y")
+
+
 def _hamming(df: DataFrame, min_same: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -223,9 +245,7 @@ def pairs_by_rare_shingles(texts: DataFrame, size: int, similarity: float, hot:
     met = materialise(pairs_in_blocks(first.select("block", "_id").distinct(), hot), "rarepairs")
     # a shingle that is among the rarest of many texts is common to near-copies: these are paired in full, in SALT tasks
     rest = met.where("b is null").select("a", "block")
-    salt = F.array(*[F.lit(k) for k in range(SALT)])
-    left = rest.withColumn("_salt", F.pmod(F.xxhash64("a"), F.lit(SALT)).cast("int"))
-    full = left.join(rest.select(F.col("a").alias("b"), "block", F.explode(salt).alias("_salt")), ["block", "_salt"]).where("a < b").select("a", "b")
+    full = paired(rest.withColumnRenamed("a", "x"), rest.withColumnRenamed("a", "y"), "block").where("x < y").select(F.col("x").alias("a"), F.col("y").alias("b"))
     return met.where("b is not null").select("a", "b").unionByName(full)
 
 
@@ -237,9 +257,13 @@ def similar_classes(df: DataFrame, id_col: str, text_col: str, *, size: int = 5,
     copies = prints.groupBy("s1", "s2", "n").agg(F.min("_id").alias("rep"), F.count("*").alias("c")).where("c > 1").select("s1", "s2", "n", "rep")
     member = materialise(prints.select("_id", "s1", "s2", "n").join(copies, ["s1", "s2", "n"]).select("_id", "rep"), "copies")
     reps = prints.join(member.where("_id != rep").select("_id"), "_id", "left_anti")
-    found = materialise(pairs_in_blocks(reps.select(F.explode("blocks").alias("block"), "_id"), hot), "candidates")
+    blocks = reps.select(F.explode("blocks").alias("block"), "_id")
+    crowd = materialise(crowds(reps).where(F.col("n") > hot).select("block"), "crowds")
+    packed = not crowd.isEmpty()
+    found = materialise(pairs_in_blocks(blocks.join(crowd, "block", "left_anti") if packed else blocks, hot), "candidates")
     pairs = found.where("b is not null").select("a", "b")
-    crowded = found.where("b is null").select(F.col("a").alias("_id")).distinct()
+    crowded = found.where("b is null").select(F.col("a").alias("_id"))
+    crowded = (crowded.unionByName(blocks.join(crowd, "block", "left_semi").select("_id")) if packed else crowded).distinct()
     if not crowded.isEmpty():
         pairs = pairs.unionByName(pairs_by_rare_shingles(df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(crowded, "_id", "left_semi"), size, similarity, hot))
     slots = ROWS * BLOCKS
@@ -259,8 +283,9 @@ def similar_pairs(df: DataFrame, id_col: str, text_col: str, **how) -> DataFrame
     others = member.where("_id != rep")
     expanded = links.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
     grown = expanded.select(F.col("rep").alias("_id"), "rep").unionByName(others.select("_id", "rep").join(expanded, "rep", "left_semi").select("_id", "rep"))
-    across = links.join(grown.select(F.col("_id").alias("x"), F.col("rep").alias("a")), "a").join(grown.select(F.col("_id").alias("y"), F.col("rep").alias("b")), "b").select("x", "y")
-    within = member.select(F.col("_id").alias("x"), "rep").join(member.select(F.col("_id").alias("y"), "rep"), "rep").where("x < y").select("x", "y")
+    first = links.join(grown.select(F.col("_id").alias("x"), F.col("rep").alias("a")), "a").select("x", "b")
+    across = paired(first, grown.select(F.col("_id").alias("y"), F.col("rep").alias("b")), "b")
+    within = paired(member.select(F.col("_id").alias("x"), "rep"), member.select(F.col("_id").alias("y"), "rep"), "rep").where("x < y")
     return across.unionByName(within).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
 
 
@@ -314,7 +339,8 @@ def close_codes(codes: DataFrame, code_col: str, edits: int = 2) -> DataFrame:
             yield pa.record_batch([pa.array(code, pa.string()), pa.array(key, pa.int64()), pa.array(filed, pa.bool_())], ["code", "key", "filed"])
 
     distinct = codes.select(F.col(code_col).alias("code")).where(F.col("code").isNotNull()).distinct()
-    keys = materialise(distinct.mapInArrow(run, "code string, key long, filed boolean"), "codes")
+    # over all cores: few bytes, many keys
+    keys = materialise(distinct.repartition(codes.sparkSession.sparkContext.defaultParallelism).mapInArrow(run, "code string, key long, filed boolean"), "codes")
     met = keys.where("filed").select(F.col("code").alias("a"), "key").join(keys.where("not filed").select(F.col("code").alias("b"), "key"), "key").where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     near = F.levenshtein("a", "b", edits)
     return met.where((near >= 0) & (near <= edits))
@@ -324,6 +350,8 @@ def doi_pairs(df: DataFrame, id_col: str = "doc_id", doi_col: str = "doi") -> Da
     """(id_a, id_b), id_a < id_b, of records whose doi are equal or at most two edits apart once brought to one form."""
     rows = materialise(df.select(F.col(id_col).alias("_id"), plain_doi(F.col(doi_col)).alias("code")).where(F.col("code").isNotNull() & F.col("_id").isNotNull()), "doi")
     close = close_codes(rows, "code")
-    same = rows.select(F.col("_id").alias("x"), "code").join(rows.select(F.col("_id").alias("y"), "code"), "code").where("x < y").select("x", "y")
-    near = close.join(rows.select(F.col("_id").alias("x"), F.col("code").alias("a")), "a").join(rows.select(F.col("_id").alias("y"), F.col("code").alias("b")), "b").select("x", "y")
+    x, y = rows.select(F.col("_id").alias("x"), "code"), rows.select(F.col("_id").alias("y"), "code")
+    same = paired(x, y, "code").where("x < y")
+    first = close.join(x.withColumnRenamed("code", "a"), "a").select("x", "b")
+    near = paired(first, y.withColumnRenamed("code", "b"), "b")
     return same.unionByName(near).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()

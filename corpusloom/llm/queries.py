@@ -39,7 +39,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_groups(spark: SparkSession, d: str) -> DataFrame:
     """Every chunk that has near-duplicates (five words, similarity 0.8): its group and its number of links to other classes."""
-    member, links = near_duplicates.similar_classes(table(spark, d, "chunk"), "chunk_id", "text", size=5, similarity=0.8, min_shingles=20)
+    member, links = near_duplicates.similar_classes(table(spark, d, "chunk"), "chunk_id", "text", size=5, similarity=0.8)
     groups = connected_components(links.unionByName(member.select(F.col("rep").alias("a"), F.col("_id").alias("b"))), "a", "b")
     ends = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
     whole = groups.join(member.select(F.col("_id").alias("node"), "rep"), "node", "left").withColumn("rep", F.coalesce("rep", "node"))
