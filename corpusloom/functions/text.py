@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -128,9 +129,25 @@ def chunk_pieces(text: Column, mode: str = "sliding", window: int = 600, overlap
     return sliding_windows(text, window, overlap) if mode == "sliding" else F.array(text)
 
 
-def chunks_of_pages(pages: DataFrame, mode: str = "sliding", window: int = 600, overlap: int = 80, title: Column | None = None) -> DataFrame:
+def readable(text: str, min_readable: float = 0.7) -> bool:
+    """quality_good for one text: extractors are tried in turn until a page is readable."""
+    t = text or ""
+    if len(t.strip()) < 10 or sum(ord(c) < 32 and c not in "\t\n\r" for c in t) > 0.05 * len(t):
+        return False
+    shown = sum(c.isprintable() or c.isspace() for c in t)
+    return shown >= min_readable * len(t) and len(re.findall(r"(\S)\1{4,}", t)) <= 3 and len(set(t.lower()) & set("abcdefghijklmnopqrstuvwxyz ")) >= 5
+
+
+def cleaned_pages(pages: DataFrame, min_readable: float = 0.7) -> DataFrame:
+    """pages with their text cleaned; unreadable text is marked by a prefix, empty and null text stays empty."""
+    done = clean_text(pages, "text").withColumn("text", F.coalesce("text", F.lit("")))
+    bad = (F.col("text") != "") & ~quality_good(F.col("text"), min_readable)
+    return done.withColumn("text", F.when(bad, F.concat(F.lit(C.QUALITY_WARNING), "text")).otherwise(F.col("text")))
+
+
+def chunks_of_pages(pages: DataFrame, mode: str = "sliding", window: int = 600, overlap: int = 80, title: Column | None = None, min_readable: float = 0.7) -> DataFrame:
     """(all columns of pages but text, chunk_ord, text): readable, unflagged pages cut into pieces, filtered before the cut."""
-    ok = pages.where(F.col("text").isNotNull() & (F.col("text") != "") & ~F.startswith(F.col("text"), F.lit(C.QUALITY_WARNING)) & quality_good(F.col("text")))
+    ok = pages.where(F.col("text").isNotNull() & (F.col("text") != "") & ~F.startswith(F.col("text"), F.lit(C.QUALITY_WARNING)) & quality_good(F.col("text"), min_readable))
     out = ok.select(*[c for c in pages.columns if c != "text"], F.posexplode(chunk_pieces(F.col("text"), mode, window, overlap)).alias("chunk_ord", "text"))
     return out.withColumn("text", F.concat_ws(" | ", title, "text")) if title is not None else out
 

@@ -46,6 +46,38 @@ def enrich(docs: DataFrame, by_file: DataFrame, by_doi: DataFrame) -> DataFrame:
     return both.select(*docs.columns, matched.alias("matched"), *[pick(c).alias(f"biblio_{c}") for c in cols])
 
 
+FIELDS = ("title", "authors", "year", "doi", "start_page", "end_page", "citekey", "venue", "publisher", "concepts", "oa_url")
+
+
+def described(docs: DataFrame, biblio: DataFrame, order: list[Column], cache: DataFrame | None = None, prefer_bibliography: bool = True) -> DataFrame:
+    """docs (source, sniffed_doi, …) with all of FIELDS and `matched`: the bibliography's record by file name, else by doi, as a
+    whole (a match by doi keeps the spelling that was sniffed), then what the services know where that has blanks, and the
+    services' extras. Without prefer_bibliography the services alone speak."""
+    own = ["title", "authors", "year", "doi", "citekey", "pages"]
+    f = biblio_by_file(biblio, order).select(F.col("key").alias("_fk"), F.struct(*own).alias("_f"))
+    d = biblio_by_doi(biblio, order).select(F.col("key").alias("_dk"), F.struct(*own).alias("_d"))
+    use = F.lit(prefer_bibliography)
+    both = docs.join(f, (F.lower(base_name(F.col("source"))) == F.col("_fk")) & use, "left").join(d, (F.lower("sniffed_doi") == F.col("_dk")) & use, "left")
+    pick = lambda c: F.when(F.col("_fk").isNotNull(), F.col(f"_f.{c}")).when(F.col("_dk").isNotNull(), F.col(f"_d.{c}"))
+    doi = F.nullif(F.when(F.col("_fk").isNotNull(), F.coalesce(F.nullif(F.col("_f.doi"), F.lit("")), "sniffed_doi")).otherwise(F.col("sniffed_doi")), F.lit(""))
+    matched = F.when(F.col("_fk").isNotNull(), "file").when(F.col("_dk").isNotNull(), "doi").otherwise("none")
+    base = both.select(*docs.columns, matched.alias("matched"), F.nullif(pick("title"), F.lit("")).alias("title"), names(pick("authors")).alias("authors"), pick("year").alias("year"), doi.alias("doi"), pick("pages")["start"].alias("start_page"), pick("pages")["end"].alias("end_page"), F.nullif(pick("citekey"), F.lit("")).alias("citekey"))
+    extras = "venue string, publisher string, concepts array<string>, oa_url string"
+    if cache is None:
+        return base.select("*", *[F.lit(None).cast(x.split(" ", 1)[1]).alias(x.split(" ", 1)[0]) for x in extras.split(", ")])
+    known = latest_replies(cache).select(F.col("doi").alias("_key"), F.col("crossref").alias("_c"), F.col("openalex").alias("_o"), F.nullif(F.col("unpaywall.oa_url"), F.lit("")).alias("_u"))
+    joined = base.join(known, F.lower("doi") == F.col("_key"), "left")
+    filled = {"title": F.coalesce("title", F.col("_c.title")), "authors": F.when(F.coalesce(F.size("authors"), F.lit(0)) > 0, F.col("authors")).otherwise(F.col("_c.authors")), "year": F.coalesce("year", F.col("_c.year")), "start_page": F.coalesce("start_page", F.col("_c.start_page"))}
+    extra = {"venue": F.col("_o.venue"), "publisher": F.col("_o.publisher"), "concepts": F.col("_o.concepts"), "oa_url": F.coalesce("_u", F.nullif(F.col("_o.oa_url"), F.lit("")))}
+    return joined.select(*[filled.get(c, F.col(c)).alias(c) for c in base.columns], *[x.alias(c) for c, x in extra.items()])
+
+
+def with_citekeys(docs: DataFrame, order: str) -> DataFrame:
+    """docs with a citekey each: their own, or one made of the file name, told apart from others of the same name."""
+    made = unique_citekeys(docs.where(F.nullif("citekey", F.lit("")).isNull()), order).withColumnRenamed("citekey", "_made")
+    return docs.join(made, "source", "left").withColumn("citekey", F.coalesce(F.nullif("citekey", F.lit("")), "_made")).drop("_made")
+
+
 def fill_blanks(docs: DataFrame, by_file: DataFrame) -> DataFrame:
     """title, year, doi and citekey filled from the bibliography where docs has none."""
     b = by_file.select(F.col("key").alias("_k"), *[F.col(c).alias(f"_{c}") for c in ("title", "year", "doi", "citekey")])
@@ -54,10 +86,16 @@ def fill_blanks(docs: DataFrame, by_file: DataFrame) -> DataFrame:
     return joined.select(*[own[c].alias(c) if c in own else F.col(c) for c in docs.columns])
 
 
+def _told(service: str) -> Column:
+    """A reply as one string, by which replies of the same time are told apart."""
+    text = {"crossref": ["title", "authors", "year", "start_page"], "openalex": ["venue", "publisher", "concepts", "oa_url"], "unpaywall": ["oa_url", "is_oa"]}[service]
+    return F.concat_ws("|", *[F.coalesce(F.array_join(f"{service}.{f}", ";") if f in ("authors", "concepts") else F.col(f"{service}.{f}").cast("string"), F.lit("")) for f in text])
+
+
 def latest_replies(replies: DataFrame) -> DataFrame:
     """One row per doi: of each service the latest reply that isn't null (upsert), and the latest time. Whole duplicate rows and
-    the order of arrival don't matter; ties by the reply itself."""
-    pick = lambda c: F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.struct(F.coalesce("updated_at", F.lit("1970-01-01").cast("timestamp")), F.to_json(c)))).alias(c)
+    the order of arrival don't matter; ties by what the reply says."""
+    pick = lambda c: F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.struct(F.coalesce("updated_at", F.lit("1970-01-01").cast("timestamp")), _told(c)))).alias(c)
     return replies.where(F.col("doi").isNotNull()).groupBy(F.lower("doi").alias("doi")).agg(pick("crossref"), pick("openalex"), pick("unpaywall"), F.max("updated_at").alias("updated_at"))
 
 
@@ -107,10 +145,10 @@ def known_only(docs: DataFrame) -> DataFrame:
     return docs.where((F.coalesce(F.size("authors"), F.lit(0)) > 0) & F.col("year").isNotNull())
 
 
-def deduplicate(chunks: DataFrame) -> DataFrame:
-    """The first chunk of each text that is equal but for case, punctuation and space; texts without any word go."""
+def deduplicate(chunks: DataFrame, order: tuple[str, ...] = ("chunk_id",)) -> DataFrame:
+    """The first chunk, in `order`, of each text that is equal but for case, punctuation and space; texts without any word go."""
     keyed = chunks.withColumn("_key", dedup_key(F.col("text"))).where(F.col("_key").isNotNull())
-    first = keyed.groupBy("_key").agg(F.min("chunk_id").alias("chunk_id")).select("chunk_id")
+    first = keyed.groupBy("_key").agg(F.min(F.struct(*order, F.col("chunk_id").alias("_chunk"))).alias("_first")).select(F.col("_first._chunk").alias("chunk_id"))
     return keyed.drop("_key").join(first, "chunk_id", "left_semi")
 
 

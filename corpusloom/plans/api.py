@@ -14,6 +14,7 @@ from corpusloom.operators import index as I
 from corpusloom.operators import ranking as R
 from corpusloom.plans import search as P
 from corpusloom.plans.config import defaults, merge
+from corpusloom.runtime import scratch
 
 TYPES = ("query", "summary", "collections", "config")
 
@@ -43,8 +44,23 @@ def result_rows(found: DataFrame, cfg: dict[str, Any]) -> list[dict[str, Any]]:
     return [json.loads(r["j"]) for r in found.orderBy("rank").select(F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}).alias("j")).collect()]
 
 
-def answer(request: dict[str, Any], corpus: DataFrame, base: dict[str, Any] | None = None, index: I.Index | None = None, listing: DataFrame | None = None, llm: Callable[[str], str] | None = None) -> dict[str, Any]:
-    """The response envelope {success, query, results, count, …} or {success: false, error}; never raises."""
+class Memo:
+    """Replies of an injected model by everything they depend on, so that an equal question is asked once."""
+
+    def __init__(self, ask: Callable[[str], str], **about: Any) -> None:
+        self.ask, self.about, self.known = ask, json.dumps(about, sort_keys=True), {}
+
+    def __call__(self, prompt: str) -> str:
+        key = (self.about, prompt)
+        if key not in self.known:
+            self.known[key] = self.ask(prompt)
+        return self.known[key]
+
+
+def answer(request: dict[str, Any], corpus: DataFrame, base: dict[str, Any] | None = None, index: I.Index | None = None, listing: DataFrame | None = None, llm: Callable[[str], str] | None = None, vectors: DataFrame | None = None, encode: Callable[[str], list[float]] | None = None) -> dict[str, Any]:
+    """The response envelope {success, query, results, count, confidence, …} or {success: false, error}; never raises. llm: an
+    injected model; vectors (chunk_id, embedding) and encode: what the semantic run needs. Tables written for one answer are
+    deleted at its end."""
     wrong = validate(request)
     if wrong:
         return {"success": False, "error": wrong}
@@ -57,31 +73,61 @@ def answer(request: dict[str, Any], corpus: DataFrame, base: dict[str, Any] | No
             rows = [r.asDict() for r in listing.orderBy("id").collect()] if listing is not None else []
             return {"success": True, "collections": rows, "count": len(rows)}
         if kind == "summary":
-            return {"success": True, "query": request["query"], "summary": summarise(request["query"], request["chunks"], llm)}
-        query = request["query"]
-        if cfg["llm"]["enabled"] and llm is not None and cfg["llm"]["use_for_bm25"]:
-            query = expanded(query, llm, cfg["llm"]["n"])
-        rows = result_rows(P.search(corpus, [Query("0", query)], cfg, index), cfg)
-        return {"success": True, "query": request["query"], "results": rows, "count": len(rows)}
+            return {"success": True, "query": request["query"], "summary": summarise(request["query"], request["chunks"], llm, cfg["llm"]["summary"]["max_tokens"])}
+        return found(request["query"], corpus, cfg, index, llm, vectors, encode)
     except Exception as e:
         return {"success": False, "query": request.get("query"), "error": str(e)}
 
 
-def expanded(query: str, llm: Callable[[str], str], n: int) -> str:
-    """The query with up to n hypothetical answers of an injected model appended; its failures add nothing."""
+def found(text: str, corpus: DataFrame, cfg: dict[str, Any], index: I.Index | None = None, llm: Callable[[str], str] | None = None, vectors: DataFrame | None = None, encode: Callable[[str], list[float]] | None = None) -> dict[str, Any]:
+    """One query's answer: hypothetical answers widen the BM25 query and rank runs of their own, the semantic run takes part if
+    it is set and there are vectors, and a summary is made of the first rows if it is set."""
+    spark, language = corpus.sparkSession, cfg["llm"]
+    passages = hypothetical(text, llm, language["n"]) if language["enabled"] and llm is not None else []
+    wide = " ".join([text, *passages]) if language["use_for_bm25"] else text
+    pair = None
+    if cfg["rerank"]["semantic"]["enabled"] and vectors is not None and encode is not None:
+        asked = " ".join([text, *passages]) if language.get("use_for_semantic") else text
+        pair = (vectors, spark.createDataFrame([("0", [float(x) for x in encode(asked)])], "query_id string, embedding array<double>"))
+    summary, wanted = language["summary"], cfg["rerank"]["final_top_k"]
+    depth = max(wanted, summary["top_k"]) if summary["enabled"] and llm is not None else wanted
+    with scratch():
+        rows, sure = P.search_with_confidence(corpus, [Query("0", wide)], merge(cfg, {"rerank": {"final_top_k": depth}}), index, pair, {"0": passages})
+        shown = result_rows(rows, cfg)
+        level = [r.asDict() for r in sure.drop("query_id").collect()]
+    out = {"success": True, "query": text, "results": shown[:wanted], "count": len(shown[:wanted]), "confidence": level[0] if level else {}}
+    if summary["enabled"] and llm is not None:
+        out["summary"] = summarise(text, [r["text"] for r in shown[: summary["top_k"]]], llm, summary["max_tokens"])
+    return out
+
+
+def hypothetical(query: str, llm: Callable[[str], str], n: int) -> list[str]:
+    """Up to n hypothetical answers of an injected model; its failures end them."""
     answers = []
     for k in range(n):
         try:
             answers.append(llm(f"Write passage {k + 1} that answers: {query}"))
         except Exception:
             break
-    return " ".join([query, *filter(None, answers)])
+    return [a for a in answers if a]
 
 
-def summarise(query: str, chunks: list[str], llm: Callable[[str], str] | None) -> str | None:
+def expanded(query: str, llm: Callable[[str], str], n: int) -> str:
+    """The query with its hypothetical answers appended."""
+    return " ".join([query, *hypothetical(query, llm, n)])
+
+
+def summarise(query: str, chunks: list[str], llm: Callable[[str], str] | None, max_tokens: int = 10_000) -> str | None:
+    """A summary of whole chunks, as many as fit into max_tokens (a token counted as four characters); None without a model."""
     if llm is None or not chunks:
         return None
-    return " ".join(llm(f"Summarise for {query}: " + "\n".join(map(str, chunks))).split())
+    kept, room = [], 4 * max_tokens
+    for c in map(str, chunks):
+        room -= len(c)
+        if kept and room < 0:
+            break
+        kept.append(c)
+    return " ".join(llm(f"Summarise for {query}: " + "\n".join(kept)).split())
 
 
 def batch(queries: DataFrame, errors: DataFrame, corpus: DataFrame, base: dict[str, Any] | None = None) -> DataFrame:

@@ -8,11 +8,12 @@ import json
 import os
 from typing import Any
 
+# Settings and their defaults.
 DEFAULTS: dict[str, Any] = {
     "paths": {"pdf_dir": "pdfs", "cache_dir": ".rag_cache", "crossref_email": None},
     "indexing": {"page_split": "sliding", "window_chars": 600, "overlap_chars": 80, "text_quality_check": True, "min_readable_ratio": 0.5},
     "bm25": {"k1": 1.4, "b": 0.75, "build_top_k": 300, "pool_size": 200, "token_pattern": "[A-Za-z0-9]+"},
-    "llm": {"enabled": False, "n": 5, "use_for_bm25": True, "summary": {"enabled": False, "top_k": 25, "max_tokens": 10000}},
+    "llm": {"enabled": False, "n": 5, "use_for_bm25": True, "use_for_semantic": False, "provider": "openai", "model": None, "base_url": None, "temperature": 0.7, "max_tokens": 256, "summary": {"enabled": False, "top_k": 25, "max_tokens": 10000}},
     "prf": {"enabled": False, "fb_docs": 6, "fb_terms": 10, "alpha": 0.6},
     "bonuses": {"proximity": {"enabled": True, "window": 24, "weight": 0.2}, "ngram": {"enabled": True, "weight": 0.1}},
     "diversity": {"enabled": True, "per_doc_penalty": 0.3, "max_per_doc": 2, "mmr": {"enabled": True, "lambda": 0.7}},
@@ -20,7 +21,8 @@ DEFAULTS: dict[str, Any] = {
     "fusion": {"rrf": {"enabled": True, "C": 75, "cap": 200}, "robust_query": {"enabled": True}},
     "citations": {"crossref": True, "openalex": True, "unpaywall": False, "cache_seconds": 604800, "bibliography_index_path": None, "prefer_bibliography": True, "drop_unknown": True, "include_pandoc_cite": True, "pandoc_as_primary": True},
     "output": {"max_snippet_chars": 900, "pretty_json": True, "include_scores": True},
-    "performance": {"api_semaphore_size": 5, "deterministic": True},
+    "performance": {"api_semaphore_size": 5, "pdf_thread_workers": None, "deterministic": True},
+    "mode": "reference",
 }
 
 # Environment variables and what they set.
@@ -95,6 +97,26 @@ def load(path: str | None = None, overrides: dict[str, Any] | None = None, env:
     return cfg
 
 
+def surroundings(env: dict[str, str] | None = None) -> str:
+    """Where the process runs: 'ci', 'docker', 'codespace' or 'local'."""
+    env = dict(os.environ) if env is None else env
+    if env.get("CODESPACES"):
+        return "codespace"
+    if env.get("CI") or env.get("GITHUB_ACTIONS"):
+        return "ci"
+    return "docker" if os.path.exists("/.dockerenv") or env.get("DOCKER_CONTAINER") else "local"
+
+
+def adapted(cfg: dict[str, Any], where: str) -> dict[str, Any]:
+    """cfg with paths made whole and the number of requests at once fitted to where it runs."""
+    out = copy.deepcopy(cfg)
+    for key in ("pdf_dir", "cache_dir"):
+        out["paths"][key] = os.path.expanduser(out["paths"][key])
+    if where in ("ci", "codespace"):
+        out["performance"]["api_semaphore_size"] = min(out["performance"]["api_semaphore_size"], 2)
+    return out
+
+
 def chunking_hash(cfg: dict[str, Any] | None) -> str:
     """Changes whenever the cut of pages into chunks does; no settings and empty settings are the same."""
     return hashlib.sha256(json.dumps(cfg or {}, sort_keys=True).encode()).hexdigest()

@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import scoring as S
 from corpusloom.functions import text as T
 from corpusloom.functions.scoring import Query
+from corpusloom.operators import enrichment as E
 from corpusloom.operators import index as I
 from corpusloom.operators import metadata as M
 from corpusloom.operators import ranking as R
 from corpusloom.operators.vectors import nearest
+from corpusloom.plans import ingest as N
 from corpusloom.plans import search as P
 from corpusloom.plans.config import defaults
 from corpusloom.runtime import materialise, spread
 from corpusloom.runtime import table as stored
+from corpusloom.sources import files as X
 
 QUERIES_TYPED = [Query("q1", "thermal membrane of the synthetic estuary"), Query("q2", "archival lattice & porous kiln?"), Query("q3", "zzzz unseen")]
 QUOTE = Query("q4", "Earlier work revealed the resilient loom")
@@ -97,7 +102,8 @@ def _pool(s, d, queries=None):
     queries = queries or [*QUERIES_TYPED, QUOTE]
     c = P.chunk_corpus(s, d)
     scored = P.baseline(c, queries, I.bm25(I.build(c), I.query_terms(s, queries)), defaults())
-    return materialise(P.pool_of(scored.withColumn("score", F.round("score", 6)), 200), "pool"), queries
+    top = materialise(P.pool_of(scored.withColumn("score", F.round("score", 6)), 200), "top")
+    return materialise(P.pool_with_text(c, top), "pool"), queries
 
 
 def baseline_pool(s, d):
@@ -243,8 +249,10 @@ def biblio_fill(s, d):
 
 
 def doi_collection(s, d):
-    docs = P.chunk_corpus(s, d).groupBy("doc_id", "source").agg(F.min_by("text", "chunk_id").alias("text"))
-    return M.collected_doi(docs, M.biblio_by_file(_table(s, d, "biblio"), _order()))
+    """The doi is looked for in the texts of a paper's first two pages."""
+    rows = P.chunk_corpus(s, d).withColumn("_n", F.dense_rank().over(Window.partitionBy("doc_id", "source").orderBy("page"))).where("_n <= 2")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "chunk_id", "text"))), lambda x: x["text"]), " ")
+    return M.collected_doi(rows.groupBy("doc_id", "source").agg(text.alias("text")), M.biblio_by_file(_table(s, d, "biblio"), _order()))
 
 
 def doi_cache_upsert(s, d):
@@ -258,11 +266,21 @@ def doi_cache_fresh(s, d):
 
 
 def metadata_merge(s, d):
-    """Replies of one time and service may differ; only what all of them agree on is compared with SQL."""
     m = M.merged_metadata(M.latest_replies(_table(s, d, "doi_cache")))
     return m.select("doi", "title", F.col("year").cast("string").alias("year"), "venue", "oa_url")
 
 
+def _stand_in(doi: str) -> tuple[int, str | None]:
+    return 200, json.dumps({"message": {"title": [f"Work {doi}"], "issued": {"date-parts": [[2020]]}}})
+
+
+def enriched_meta(s, d):
+    """Every paper's doi asked for: fresh replies from the cache, the others from a stand-in of the first service."""
+    now = F.lit(NOW).cast("timestamp")
+    found, _ = E.enriched(_table(s, d, "docmeta").select("doi"), _table(s, d, "doi_cache"), {"crossref": _stand_in}, now, 200 * 86_400)
+    return found.select("doi", F.startswith(F.coalesce("title", F.lit("")), F.concat(F.lit("Work "), F.col("doi"))).alias("fetched"))
+
+
 def citekey_propagation(s, d):
     return M.propagated_citekey(_table(s, d, "docmeta").select("doc_id", "source", "citekey"), "doc_id").select("doc_id", "citekey")
 
@@ -282,24 +300,38 @@ def manifest_diff(s, d):
 
 
 def incremental_merge(s, d):
-    cached = _table(s, d, "chunk").select("chunk_id", "source").where(F.col("chunk_ord") >= 0)
-    diff = M.manifest_diff(*_scans(s, d))
-    touched = diff.where(F.col("change").isin("new", "changed")).select(F.col("path"))
-    new = M.filter_by_files(cached, touched)
-    return M.merge_corpus(cached, new, diff).select("chunk_id", "source")
+    """The older half of the scans against the younger: files seen in both, in the second alone or no more. The chunks of the
+    first half's files are cached; new and changed files are read again."""
+    m = _table(s, d, "manifest")
+    at = F.unix_micros("scanned_at")
+    cut = m.agg((F.min(at) + (F.max(at) - F.min(at)) / 2).cast("long").alias("c")).first()["c"]
+    first, second = M.latest_scan(m.where(at <= cut), F.timestamp_micros(F.lit(2**52))), M.latest_scan(m.where(at > cut), F.timestamp_micros(F.lit(2**52)))
+    chunks, diff = _table(s, d, "chunk").select("chunk_id", "source"), M.manifest_diff(first, second)
+    cached = M.filter_by_files(chunks, diff.where("change != 'new'")).withColumn("origin", F.lit("cached"))
+    new = M.filter_by_files(chunks, diff.where("change in ('new', 'changed')")).withColumn("origin", F.lit("read"))
+    return M.merge_corpus(cached, new, diff).select("chunk_id", "source", "origin")
+
+
+def ingest_documents(s, d):
+    """Each file as the ingest describes it: doi of its first pages, bibliography, services, citekey; known ones only."""
+    pages = _table(s, d, "chunk").select("source", "page", F.coalesce("text", F.lit("")).alias("text"))
+    about = M.with_citekeys(M.described(N.documents_of(pages), _table(s, d, "biblio"), _order(), _table(s, d, "doi_cache")), "source")
+    return M.known_only(about).select("source", "matched", "title", F.array_join("authors", "; ").alias("authors"), F.col("year").cast("string").alias("year"), "doi", "citekey", "venue", "oa_url")
+
+
+def ingest_corpus(s, d):
+    """The whole ingest in one call, a chunk of the table as a page's text."""
+    pages = _table(s, d, "chunk").select("source", F.col("chunk_id").alias("page"), "text")
+    return N.ingest(pages, _table(s, d, "biblio"), _order(), defaults(), _table(s, d, "doi_cache")).select("source", "page", F.col("chunk_ord").cast("long").alias("chunk_ord"), "citekey", "text")
 
 
 def collections(s, d):
-    m = _table(s, d, "manifest").where(F.lower("path").endswith(".pdf"))
-    folder = F.when(F.contains("path", F.lit("/")), F.regexp_replace("path", "/[^/]*$", "")).otherwise("")
-    return m.select(folder.alias("folder"), "path").groupBy("folder").agg(F.countDistinct("path").alias("files"))
+    found = _table(s, d, "manifest").where(F.lower("path").endswith(".pdf")).select("path").distinct()
+    return X.collections(found, "/nowhere").select("id", "name", "folder", "files")
 
 
 def file_text_hash(s, d):
-    """One hash per file over its chunks in order; a file's chunks are bounded by its pages."""
-    c = _table(s, d, "chunk").where(F.col("text").isNotNull())
-    per = c.groupBy("source").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_id", F.sha2("text", 256).alias("h")))), lambda x: x["h"]), ""), 256).alias("sha256"))
-    return per
+    return N.file_hashes(_table(s, d, "chunk"))
 
 
 def corpus_diagnostics(s, d):
@@ -308,15 +340,41 @@ def corpus_diagnostics(s, d):
 
 
 def api_json_parse(s, d):
-    k = F.get_json_object("props", "$.k").cast("long")
-    return _table(s, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.count(k).alias("parsed"), F.sum(k).alias("total"))
+    """The replies of the cache as the service sends them, read back."""
+    c = _table(s, d, "doi_cache").where(F.col("crossref").isNotNull() & F.col("doi").isNotNull())
+    dates = F.when(F.col("crossref.year").isNotNull(), F.struct(F.array(F.array("crossref.year")).alias("date-parts")))
+    pages = F.concat(F.col("crossref.start_page").cast("string"), F.lit("-999"))
+    sent = F.to_json(F.struct(F.struct(F.when(F.col("crossref.title").isNotNull(), F.array("crossref.title")).alias("title"), dates.alias("issued"), pages.alias("page")).alias("message")))
+    r = X.crossref_record(sent)
+    return c.select("doi", r["title"].alias("title"), r["year"].cast("string").alias("year"), r["start_page"].cast("string").alias("start_page"))
 
 
 def final_sort(s, d):
-    from pyspark.sql import Window
+    """The pool's rows in the order results are shown in."""
+    pool, _ = _pool(s, d)
+    rows = pool.withColumn("file", F.col("source"))
+    order = F.row_number().over(Window.partitionBy("query_id").orderBy(*R.final_order(), "chunk_id")).cast("long")
+    return rows.withColumn("rank", order).select("query_id", "chunk_id", "rank")
 
-    rows = P.chunk_corpus(s, d).select("chunk_id", F.col("source").alias("file"), "page", "doi", (F.length("text") % 7).cast("double").alias("score"))
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("file").orderBy(*R.final_order(), "chunk_id")).cast("long")).select("chunk_id", "rank")
+
+def semantic_run(s, d):
+    """Chunks that have a vector of their number, and one vector for each query."""
+    pool, q = _pool(s, d)
+    e = _table(s, d, "embeddings")
+    asked = e.where(F.col("vec_id").between(1, len(q))).select(F.concat(F.lit("q"), F.col("vec_id").cast("string")).alias("query_id"), "embedding")
+    return P.semantic_run(pool.withColumn("bm25", F.round("bm25", 6)), e.withColumnRenamed("vec_id", "chunk_id"), asked, 80).select("query_id", "rank", "chunk_id")
+
+
+PASSAGES = {"q1": ["the membrane of an estuary is thermal", "synthetic membranes were measured in the estuary"], "q2": ["one answer only"]}
+
+
+def multi_passage_run(s, d):
+    """A run for each hypothetical answer of the queries that have more than one."""
+    pool, q = _pool(s, d)
+    c = _chunk(s, d)
+    index = I.build(c)
+    extra = [(10 + n, I.bm25(index, I.query_terms(s, qs)).withColumn("bm25", F.round("bm25", 6))) for n, qs in enumerate(P.passage_queries(q, PASSAGES))]
+    return P.build_runs(pool, q, defaults(), extra).where("run_id >= 10").select("query_id", "run_id", "rank", "chunk_id")
 
 
 def vector_topk(s, d):
@@ -325,13 +383,6 @@ def vector_topk(s, d):
     return nearest(q, e, 10).select("query_id", "rank", "vec_id", _rounded("score", "score", 5))
 
 
-def hybrid_minmax(s, d):
-    e = _table(s, d, "embeddings").withColumn("bm25", (F.col("vec_id") * 37 % 101).cast("double")).withColumn("query_id", F.lit(0).cast("long"))
-    q = [r["embedding"] for r in _table(s, d, "embeddings").where("vec_id = 0").limit(1).collect()]
-    v = F.array(*[F.lit(float(x)) for x in (q[0] if q else [0.0])])
-    return e.select("vec_id", _rounded(0.7 * R.minmax("bm25") + 0.3 * S.cosine(F.col("embedding"), v), "combined", 5))
-
-
 def tfidf_cosine(s, d):
     docs = _table(s, d, "docmeta").where(F.col("title").isNotNull()).select(F.col("doc_id").alias("chunk_id"), F.col("title").alias("text"))
     v = materialise(I.tfidf_vectors(docs), "tfidf")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from corpusloom.functions import constants as C
 from corpusloom.functions.scoring import IDF_EVEN, Query, robustify
 from corpusloom.plans.config import defaults
-from corpusloom.plans.queries import NOW, QUERIES_TYPED, QUOTE
+from corpusloom.plans.queries import NOW, PASSAGES, QUERIES_TYPED, QUOTE
 
 CFG = defaults()
 K1, B = CFG["bm25"]["k1"], CFG["bm25"]["b"]
@@ -178,11 +178,18 @@ _FILE_KEY = "lower(split_part(pdf_file, '/', -1))"
 _LAST = "year desc nulls last, citekey desc nulls last, title desc nulls last, doi desc nulls last, pdf_file desc nulls last"
 _BY_FILE = f"by_file as (select {_FILE_KEY} as key, * from biblio where pdf_file is not null and pdf_file <> '' qualify row_number() over (partition by {_FILE_KEY} order by {_LAST}) = 1)"
 _BY_DOI = f"by_doi as (select lower(doi) as key, * from biblio where doi is not null and doi <> '' qualify row_number() over (partition by lower(doi) order by {_LAST}) = 1)"
-_LATEST = """latest as (select lower(doi) as doi,
-  arg_max(crossref, (coalesce(updated_at, timestamptz '1970-01-01 00:00:00+00'), cast(to_json(crossref) as varchar))) filter (where crossref is not null) as crossref,
-  arg_max(openalex, (coalesce(updated_at, timestamptz '1970-01-01 00:00:00+00'), cast(to_json(openalex) as varchar))) filter (where openalex is not null) as openalex,
-  arg_max(unpaywall, (coalesce(updated_at, timestamptz '1970-01-01 00:00:00+00'), cast(to_json(unpaywall) as varchar))) filter (where unpaywall is not null) as unpaywall,
-  max(updated_at) as updated_at from doi_cache where doi is not null group by lower(doi))"""
+_TOLD = {
+    "crossref": "coalesce(crossref.title, '') || '|' || coalesce(array_to_string(crossref.authors, ';'), '') || '|' || coalesce(cast(crossref.year as varchar), '') || '|' || coalesce(cast(crossref.start_page as varchar), '')",
+    "openalex": "coalesce(openalex.venue, '') || '|' || coalesce(openalex.publisher, '') || '|' || coalesce(array_to_string(openalex.concepts, ';'), '') || '|' || coalesce(openalex.oa_url, '')",
+    "unpaywall": "coalesce(unpaywall.oa_url, '') || '|' || coalesce(cast(unpaywall.is_oa as varchar), '')",
+}
+_LATEST = "latest as (select lower(doi) as doi, " + ", ".join(f"arg_max({c}, (coalesce(epoch_us(updated_at), 0), {t})) filter (where {c} is not null) as {c}" for c, t in _TOLD.items()) + ", max(updated_at) as updated_at from doi_cache where doi is not null group by lower(doi))"
+_FRESH = f"coalesce(epoch_us(timestamptz '{NOW}+00') - epoch_us(updated_at) < {200 * 86_400_000_000}, false)"
+_NAMES = "array_to_string(list_filter(list_transform(coalesce(authors, []), lambda a: case when nullif(trim(a.family), '') is null then coalesce(nullif(trim(a.given), ''), '') when nullif(trim(a.given), '') is null then trim(a.family) else trim(a.family) || ', ' || trim(a.given) end), lambda x: x <> ''), '; ')"
+_HALVES = """cut as (select cast(floor(min(epoch_us(scanned_at)) + (max(epoch_us(scanned_at)) - min(epoch_us(scanned_at))) / 2) as bigint) as c from manifest),
+one as (select path, arg_max((size, mtime), (scanned_at, mtime, size)) as s from manifest where epoch_us(scanned_at) <= (select c from cut) and lower(path) like '%.pdf' and not starts_with(path, '__') group by path),
+two as (select path, arg_max((size, mtime), (scanned_at, mtime, size)) as s from manifest where epoch_us(scanned_at) > (select c from cut) and lower(path) like '%.pdf' and not starts_with(path, '__') group by path),
+diff as (select split_part(coalesce(a.path, b.path), '/', -1) as source, case when a.path is null then 'new' when b.path is null then 'removed' when a.s is distinct from b.s then 'changed' else 'unchanged' end as change from one a full join two b on a.path = b.path)"""
 _SCANS = """cut as (select cast(floor(min(epoch_us(scanned_at)) + (max(epoch_us(scanned_at)) - min(epoch_us(scanned_at))) / 2) as bigint) as c from manifest),
 cached as (select path, arg_max((size, mtime), (scanned_at, mtime, size)) as s from manifest where epoch_us(scanned_at) <= (select c from cut) group by path),
 current as (select path, arg_max((size, mtime), (scanned_at, mtime, size)) as s from manifest where scanned_at is not null group by path),
@@ -244,21 +251,23 @@ select source, base || case when n = 1 then '' when n <= 27 then '-' || chr(cast
     "biblio_by_doi": f"with {_BY_DOI} select key, citekey, title, cast(year as varchar) as year, pdf_file from by_doi",
     "biblio_enrich": f"with {_BY_FILE}, {_BY_DOI} select m.doc_id, case when f.key is not null then 'file' when d.key is not null then 'doi' else 'none' end as matched, case when f.key is not null then f.citekey else d.citekey end as biblio_citekey, cast(case when f.key is not null then f.year else d.year end as varchar) as biblio_year, case when f.key is not null then f.doi when d.key is not null then m.doi end as biblio_doi from docmeta m left join by_file f on lower(split_part(m.source, '/', -1)) = f.key left join by_doi d on lower(m.doi) = d.key",
     "biblio_fill": f"with {_BY_FILE} select m.doc_id, coalesce(nullif(m.title, ''), f.title) as title, cast(coalesce(m.year, f.year) as varchar) as year, coalesce(nullif(m.doi, ''), f.doi) as doi, coalesce(nullif(m.citekey, ''), f.citekey) as citekey from docmeta m left join by_file f on lower(split_part(m.source, '/', -1)) = f.key",
-    "doi_collection": rf"with {_CORPUS}, {_BY_FILE}, d as (select doc_id, source, arg_min(text, chunk_id) as text from corpus group by doc_id, source) select doc_id, coalesce(nullif(f.doi, ''), nullif(regexp_replace(regexp_extract(d.text, '{C.DOI}'), '[\]).,;]+$', ''), '')) as doi from d left join by_file f on lower(split_part(d.source, '/', -1)) = f.key where coalesce(nullif(f.doi, ''), nullif(regexp_replace(regexp_extract(d.text, '{C.DOI}'), '[\]).,;]+$', ''), '')) is not null",
+    "doi_collection": rf"""with {_CORPUS}, {_BY_FILE}, p as (select *, dense_rank() over (partition by doc_id, source order by page nulls first) as n from corpus),
+d as (select doc_id, source, string_agg(text, ' ' order by page nulls first, chunk_id) as text from p where n <= 2 group by doc_id, source),
+f as (select doc_id, coalesce(nullif(f.doi, ''), nullif(regexp_replace(regexp_extract(d.text, '{C.DOI}'), '[\]).,;]+$', ''), '')) as doi from d left join by_file f on lower(split_part(d.source, '/', -1)) = f.key) select * from f where doi is not null""",
     "doi_cache_upsert": f"with {_LATEST} select doi, crossref is not null as has_crossref, openalex is not null as has_openalex, unpaywall is not null as has_unpaywall, epoch_us(updated_at) as updated_us from latest",
     "doi_cache_fresh": f"with {_LATEST} select doi, coalesce(epoch_us(timestamptz '{NOW}+00') - epoch_us(updated_at) < {200 * 86_400_000_000}, false) as fresh from latest",
     "citekey_propagation": "select doc_id, coalesce(nullif(citekey, ''), first_value(nullif(citekey, '') ignore nulls) over (partition by source order by doc_id rows between unbounded preceding and unbounded following)) as citekey from docmeta",
     "drop_unknown": "select doc_id from docmeta where coalesce(len(authors), 0) > 0 and year is not null",
     "manifest_diff": f"with {_SCANS} select path, change from diff",
-    "incremental_merge": f"""with {_SCANS}, stale as (select distinct split_part(path, '/', -1) as source from diff where change <> 'unchanged'), touched as (select distinct split_part(path, '/', -1) as source from diff where change in ('new', 'changed'))
-select chunk_id, source from chunk where chunk_ord >= 0 and source not in (select source from stale) union all select chunk_id, source from chunk where chunk_ord >= 0 and source in (select source from touched)""",
-    "collections": "select case when contains(path, '/') then regexp_replace(path, '/[^/]*$', '') else '' end as folder, count(distinct path) as files from manifest where lower(path) like '%.pdf' group by 1",
-    "file_text_hash": "select source, sha256(string_agg(sha256(text), '' order by chunk_id)) as sha256 from chunk where text is not null group by source",
+    "incremental_merge": f"""with {_HALVES}, stale as (select distinct source from diff where change <> 'unchanged')
+select chunk_id, source, 'cached' as origin from chunk where source in (select source from diff where change <> 'new') and source not in (select source from stale) union all select chunk_id, source, 'read' as origin from chunk where source in (select source from diff where change in ('new', 'changed'))""",
+    "collections": """with p as (select distinct path from manifest where lower(path) like '%.pdf'), f as (select path, regexp_replace(path, '/[^/]*$', '') as folder from p), g as (select *, regexp_extract(folder, '([^/]*)$', 1) as id from f)
+select id, array_to_string(list_transform(string_split(replace(id, '_', ' '), ' '), lambda w: upper(substr(w, 1, 1)) || lower(substr(w, 2))), ' ') as name, folder, count(*) as files from g where not starts_with(id, '.') group by id, folder""",
+    "file_text_hash": "select source, sha256(cast(sum(cast('0x' || substr(sha256(cast(chunk_id as varchar) || '/' || sha256(text)), 1, 15) as bigint)) as varchar) || ':' || count(*)) as sha256 from chunk where text is not null group by source",
     "corpus_diagnostics": "select count(*) as chunks, count(*) filter (where text is null) as no_text, count(distinct source) as files, count(*) filter (where length(text) < 20) as stubs, cast(sum(length(text)) as bigint) as characters from chunk",
-    "api_json_parse": "select event_type, count(*) as n, count(cast(json_extract_string(props, '$.k') as bigint)) as parsed, cast(sum(cast(json_extract_string(props, '$.k') as bigint)) as bigint) as total from events group by event_type",
-    "final_sort": f"with {_CORPUS} select chunk_id, row_number() over (partition by source order by cast(length(text) % 7 as double) desc, page nulls first, source, coalesce(doi, ''), chunk_id) as rank from corpus",
+    "api_json_parse": "select doi, crossref.title as title, cast(crossref.year as varchar) as year, cast(crossref.start_page as varchar) as start_page from doi_cache where crossref is not null and doi is not null",
+    "final_sort": f"with {_POOL} select query_id, chunk_id, row_number() over (partition by query_id order by score desc, page nulls first, source, coalesce(doi, ''), chunk_id) as rank from pool",
     "vector_topk": "with s as (select q.vec_id as query_id, e.vec_id, list_inner_product(cast(q.embedding as double[]), cast(e.embedding as double[])) as score from embeddings q, embeddings e where q.vec_id % 20 = 0) select query_id, row_number() over (partition by query_id order by score desc, vec_id) as rank, vec_id, round(score, 5) as score from s qualify rank <= 10",
-    "hybrid_minmax": "with e as (select vec_id, cast(vec_id * 37 % 101 as double) as bm25, list_cosine_similarity(cast(embedding as double[]), cast((select embedding from embeddings where vec_id = 0) as double[])) as c from embeddings) select vec_id, round(0.7 * (bm25 - (select min(bm25) from e)) / ((select max(bm25) from e) - (select min(bm25) from e)) + 0.3 * c, 5) as combined from e",
     "tfidf_cosine": rf"""with t as (select doc_id as chunk_id, regexp_extract_all(lower(title), '[{WORDCHAR}]+') as t from docmeta where title is not null),
 tf as (select chunk_id, term, cast(count(*) as double) / n as tf from (select chunk_id, unnest(t) as term, len(t) as n from t) group by chunk_id, term, n),
 df as (select term, count(*) as df from tf group by term),
@@ -267,4 +276,21 @@ q as (select term, w as q from w where chunk_id = 1),
 p as (select chunk_id, sum(w * coalesce(q, 0)) as dot, sqrt(sum(w * w)) as n from w left join q using (term) group by chunk_id)
 select chunk_id, round(case when n * (select sqrt(sum(q * q)) from q) > 0 then dot / (n * (select sqrt(sum(q * q)) from q)) else 0 end, 6) as cosine from p""",
     "normalised_vectors": "select vec_id, round(sqrt(list_inner_product(cast(embedding as double[]), cast(embedding as double[]))) / sqrt(list_inner_product(cast(embedding as double[]), cast(embedding as double[]))), 4) as norm from embeddings",
+    "metadata_merge": f"with {_LATEST} select doi, crossref.title as title, cast(crossref.year as varchar) as year, openalex.venue as venue, coalesce(nullif(unpaywall.oa_url, ''), openalex.oa_url) as oa_url from latest",
+    "enriched_meta": f"with {_LATEST}, asked as (select distinct lower(trim(doi)) as doi from docmeta where trim(doi) <> '') select a.doi, not coalesce({_FRESH}, false) as fetched from asked a left join latest using (doi)",
+    "biblio_authors": f"with {_BY_FILE} select key, {_NAMES} as authors from by_file",
+    "ingest_documents": rf"""with {_BY_FILE}, {_BY_DOI}, {_LATEST},
+t as (select source, string_agg(coalesce(text, ''), ' ' order by page, coalesce(text, '')) as t from chunk where page <= 2 group by source),
+docs as (select s.source, nullif(regexp_replace(regexp_extract(t, '{C.DOI}'), '[\]).,;]+$', ''), '') as sniffed from (select distinct source from chunk) s left join t using (source)),
+b as (select d.source, case when f.key is not null then 'file' when g.key is not null then 'doi' else 'none' end as matched, case when f.key is not null then f.title else g.title end as title, case when f.key is not null then f.authors else g.authors end as authors, case when f.key is not null then f.year else g.year end as year,
+  nullif(case when f.key is not null then coalesce(nullif(f.doi, ''), d.sniffed) else d.sniffed end, '') as doi, nullif(case when f.key is not null then f.citekey else g.citekey end, '') as citekey
+  from docs d left join by_file f on lower(split_part(d.source, '/', -1)) = f.key left join by_doi g on lower(d.sniffed) = g.key),
+n as (select b.* exclude (authors, title, year), coalesce(nullif(b.title, ''), crossref.title) as title, case when {_NAMES} <> '' then {_NAMES} else array_to_string(crossref.authors, '; ') end as authors, cast(coalesce(b.year, crossref.year) as varchar) as year, openalex.venue as venue, coalesce(nullif(unpaywall.oa_url, ''), nullif(openalex.oa_url, '')) as oa_url from b left join latest l on lower(b.doi) = l.doi),
+k as (select source, lower(substr(regexp_split_to_array(regexp_replace(source, '([^.])\.[^.]*$', '\1'), '[ ,_]')[1], 1, 15)) as base from n where citekey is null),
+m as (select source, base, row_number() over (partition by base order by source) as n from k)
+select source, matched, title, authors, year, doi, coalesce(citekey, base || case when m.n = 1 then '' when m.n <= 27 then '-' || chr(cast(m.n + 95 as integer)) else '-z' || (m.n - 27) end) as citekey, venue, oa_url from n left join m using (source) where authors <> '' and year is not null""",
+    "semantic_run": f"""with {_POOL}, head as (select query_id, chunk_id, pool_rank, round(bm25, 6) as bm25 from pool where pool_rank <= 80),
+v as (select h.*, coalesce(list_cosine_similarity(cast(e.embedding as double[]), cast(q.embedding as double[])), 0) as c, min(h.bm25) over (partition by query_id) as lo, max(h.bm25) over (partition by query_id) as hi from head h left join embeddings e on e.vec_id = h.chunk_id left join embeddings q on h.query_id = 'q' || q.vec_id)
+select query_id, chunk_id, row_number() over (partition by query_id order by 0.7::double * (case when hi > lo then (bm25 - lo) / (hi - lo) else 1 end) + 0.3::double * c desc, pool_rank) as rank from v""",
+    "multi_passage_run": " union all ".join(f"select * from (with {_POOL.replace('qt(query_id', 'qt0(query_id').replace('qs(query_id)', 'qs0(query_id)').replace('from qs cross', 'from qs0 cross').replace('select qs.query_id', 'select qs0.query_id').replace('= qs.query_id', '= qs0.query_id').replace('from qt q join', 'from qt0 q join')}, {_queries([g])}, other as (select q.query_id, p.chunk_id, sum(q.qtf * (case when t.idf < 0 then 0.25 * (select avg(idf) from terms) else t.idf end) * p.tf * {K1 + 1} / (p.tf + {K1} * (1 - {B} + {B} * d.dl / (select avgdl from stats)))) as b from qt q join terms t using (term) join post p using (term) join dls d on d.chunk_id = p.chunk_id group by q.query_id, p.chunk_id) select p.query_id, cast({10 + k} as bigint) as run_id, row_number() over (partition by p.query_id order by coalesce(round(b, 6), 0) desc, pool_rank) as rank, p.chunk_id from pool p join qs using (query_id) left join other o on o.query_id = p.query_id and o.chunk_id = p.chunk_id)" for k, g in enumerate(Query("q1", f"{ALL[0].text} {x}") for x in PASSAGES["q1"])),
 }

@@ -6,6 +6,8 @@ import atexit
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,10 +15,13 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach: ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """Folder every executor can reach: ``spark.checkpoint.dir``; a temporary one only where that is unset and all tasks run
+    on this machine (tests). A cluster without the setting is an error: its executors would write to disks of their own."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors reach")
     own = os.path.join(tempfile.gettempdir(), f"corpusloom-{os.getuid()}")
     os.makedirs(own, exist_ok=True)
     return f"file://{own}"
@@ -31,8 +36,10 @@ def materialise(df: DataFrame, name: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _delete_written() -> None:
-    for spark, path in _written:
+def release(since: int = 0) -> None:
+    """Deletes the intermediate tables written after the first `since`; none of their readers may be used again."""
+    while len(_written) > since:
+        spark, path = _written.pop()
         try:
             jvm = spark.sparkContext._jvm
             p = jvm.org.apache.hadoop.fs.Path(path)
@@ -41,7 +48,17 @@ def _delete_written() -> None:
             return
 
 
-atexit.register(_delete_written)
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Intermediate tables written inside are deleted at its end: for services that answer many requests."""
+    since = len(_written)
+    try:
+        yield
+    finally:
+        release(since)
+
+
+atexit.register(release)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

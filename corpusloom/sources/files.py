@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusloom.functions.constants import QUALITY_WARNING
+from corpusloom.functions.text import readable
+
 META = T.StructType([
     T.StructField("title", T.StringType()), T.StructField("authors", T.ArrayType(T.StringType())), T.StructField("year", T.IntegerType()), T.StructField("doi", T.StringType()),
     T.StructField("source", T.StringType()), T.StructField("start_page", T.IntegerType()), T.StructField("end_page", T.IntegerType()), T.StructField("citekey", T.StringType()),
@@ -26,17 +29,40 @@ def files(spark: SparkSession, folder: str, pattern: str = "*.pdf", recursive: b
     return reader.load(folder).select(F.col("path"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), "content")
 
 
-def pages(found: DataFrame, extract: Callable[[bytes], list[str]] | None = None) -> DataFrame:
-    """(path, page from 1, text) by an extractor of a file's bytes, run where the file is read. A file the extractor fails on,
-    or that is empty, has no page. The default reads text files, form feeds between pages."""
-    read = extract or plain_text_pages
+def pages(found: DataFrame, *extract: Callable[[bytes], list[str]], min_readable: float = 0.7) -> DataFrame:
+    """(path, page from 1, text) by extractors of a file's bytes, run where the file is read. A page that the first one can't
+    make readable is taken from the next that can; where none can, its text gets the quality warning, unless one of them
+    failed on the file. A file the first extractor fails on, or that is empty, has no page. The default reads text files,
+    form feeds between pages."""
+    first, *others = extract or (plain_text_pages,)
+
+    def of(content: bytes) -> list[str]:
+        texts = first(content)
+        bad = [k for k, t in enumerate(texts) if t.strip() and not readable(t, min_readable)]
+        failed = False
+        for other in others:
+            if not bad:
+                break
+            try:
+                again = other(content)
+            except Exception:
+                failed = True
+                break
+            for k in list(bad):
+                if k < len(again) and readable(again[k], min_readable):
+                    texts[k] = again[k]
+                    bad.remove(k)
+        if others and not failed:
+            for k in bad:
+                texts[k] = QUALITY_WARNING + texts[k]
+        return texts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 try:
-                    texts = read(content) if content else []
+                    texts = of(content) if content else []
                 except Exception:
                     texts = []
                 rows += [(path, k, t) for k, t in enumerate(texts, 1)]
@@ -106,6 +132,18 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(rows, MANIFEST)
 
 
+def reply_cache(spark: SparkSession, path: str) -> DataFrame:
+    """(doi, crossref, openalex, unpaywall, updated_at) of a reply cache in parquet, or of the older JSON document {doi: {...}};
+    missing is empty."""
+    schema = f"crossref struct<title:string,authors:array<string>,year:int,start_page:int>, openalex struct<venue:string,publisher:string,concepts:array<string>,oa_url:string>, unpaywall struct<oa_url:string,is_oa:boolean>, updated_at timestamp"
+    if not exists(spark, path):
+        return empty(spark, f"doi string, {schema}")
+    if not path.endswith(".json"):
+        return spark.read.parquet(path)
+    entries = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,string>")).alias("doi", "_reply"))
+    return entries.select(F.lower("doi").alias("doi"), F.from_json("_reply", schema).alias("r")).select("doi", "r.*")
+
+
 def cached_corpus(spark: SparkSession, path: str) -> DataFrame:
     """Chunks of a parquet corpus or of the older gzipped JSON lines; missing is empty."""
     if not exists(spark, path):
@@ -131,7 +169,7 @@ def collections(found: DataFrame, root: str) -> DataFrame:
     """(id, name, folder, files): the root and its folders that hold files, hidden ones left out."""
     folder = F.regexp_replace("path", "/[^/]*$", "")
     last = F.regexp_extract(folder, "([^/]*)$", 1)
-    own = F.rtrim(F.lit(root.rstrip("/")))
+    own = F.lit(root.rstrip("/"))
     seen = found.withColumn("folder", folder).where(~F.startswith(last, F.lit(".")))
     name = F.when(F.endswith(F.col("folder"), own), F.lit("All documents")).otherwise(F.initcap(F.replace(last, F.lit("_"), F.lit(" "))))
     return seen.groupBy("folder", last.alias("id"), name.alias("name")).agg(F.count("*").alias("files")).select("id", "name", "folder", "files")

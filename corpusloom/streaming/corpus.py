@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import chunks_of_pages, text_hash
-from corpusloom.sources.files import exists
+from corpusloom.sources.store import Store
 
 PAGE = "source string, page int, text string, version long"
 
@@ -21,22 +21,19 @@ def newest(pages: DataFrame) -> DataFrame:
     return pages.join(top, ["source", "version"], "left_semi")
 
 
-def apply_batch(spark: SparkSession, out: str, pages: DataFrame, batch_id: int, **cut) -> None:
-    """One micro-batch: chunks of the changed sources replace their older ones. Each batch writes a version of its own and the
-    pointer moves last, so a batch that is run again, or lost half-way, leaves a whole corpus behind."""
-    new = chunks_of_pages(newest(pages).select("source", "page", "version", "text"), **cut).withColumn("text_hash", text_hash(F.col("text"))).dropDuplicates(["source", "page", "chunk_ord"])
-    pointer = f"{out}/current"
-    if exists(spark, pointer):
-        old_id = int(spark.read.text(pointer).first()["value"])
-        if old_id >= batch_id:
-            return
-        old = spark.read.parquet(f"{out}/v{old_id}")
-        touched = pages.groupBy("source").agg(F.max("version").alias("_v"))
-        kept = old.join(touched, "source", "left").where(F.col("_v").isNull() | (F.col("_v") < F.col("version"))).drop("_v")
-        fresher = kept.join(touched.select("source"), "source", "left_semi").select("source").distinct()
-        new = kept.unionByName(new.join(fresher, "source", "left_anti"))
-    new.write.mode("overwrite").parquet(f"{out}/v{batch_id}")
-    spark.createDataFrame([(str(batch_id),)], "value string").coalesce(1).write.mode("overwrite").text(pointer)
+def apply_batch(spark: SparkSession, out: str, pages: DataFrame, batch_id: int, buckets: int = 256, **cut) -> None:
+    """One micro-batch: chunks of the changed sources replace their older ones. Only the buckets that hold changed sources are
+    read and written; a commit is a log file of its own, so a batch that is run again changes nothing and one that is lost
+    half-way leaves the corpus before it."""
+    store = Store(spark, out, buckets)
+    top = pages.groupBy("source").agg(F.max("version").alias("version"))
+    old = store.read()
+    if old is not None:
+        seen = old.join(top.select("source"), "source", "left_semi").groupBy("source").agg(F.max("version").alias("_seen"))
+        top = top.join(seen, "source", "left").where(F.col("_seen").isNull() | (F.col("_seen") < F.col("version"))).select("source", "version")
+    fresh = newest(pages).join(top, ["source", "version"], "left_semi").select("source", "page", "version", "text")
+    new = chunks_of_pages(fresh, **cut).withColumn("text_hash", text_hash(F.col("text"))).dropDuplicates(["source", "page", "chunk_ord"])
+    store.commit(new, top, batch_id)
 
 
 def keep_current(stream: DataFrame, out: str, checkpoint: str, **cut):
@@ -46,5 +43,8 @@ def keep_current(stream: DataFrame, out: str, checkpoint: str, **cut):
 
 
 def current(spark: SparkSession, out: str) -> DataFrame:
-    n = spark.read.text(f"{out}/current").first()["value"]
-    return spark.read.parquet(f"{out}/v{n}")
+    """The corpus as the newest commit left it; raises where there is none."""
+    rows = Store(spark, out).read()
+    if rows is None:
+        raise FileNotFoundError(out)
+    return rows
