@@ -20,10 +20,15 @@ def line_form(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), "[0-9]+", "#"), "[ \t]+", " "))
 
 
+def line_key(source: Column, form: Column) -> Column:
+    """128 bits of a line's form within its source: by 64, two of very many lines would be taken for one."""
+    return F.struct(F.xxhash64(source, form).alias("a"), F.xxhash64(F.lit("second"), form, source).alias("b"))
+
+
 def source_lines(chunks: DataFrame, id_col: str, source_col: str, text_col: str) -> DataFrame:
-    """One row per line (from 1) with a 64-bit key of its form within its source; null texts have none."""
+    """One row per line (from 1) with a key of its form within its source; null texts have none."""
     lines = chunks.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), F.posexplode(F.split(F.col(text_col), "\n")).alias("_pos", "_line"))
-    return lines.withColumn("_form", line_form("_line")).select("_id", "_source", (F.col("_pos") + 1).cast("int").alias("_no"), F.xxhash64("_source", "_form").alias("_item"), F.length("_form").alias("_len"))
+    return lines.withColumn("_form", line_form("_line")).select("_id", "_source", (F.col("_pos") + 1).cast("int").alias("_no"), line_key(F.col("_source"), F.col("_form")).alias("_item"), F.length("_form").alias("_len"))
 
 
 def frequent_sequences(
@@ -68,9 +73,9 @@ def frequent_sequences(
 
 
 def repeated_lines(chunks: DataFrame, id_col: str = "chunk_id", source_col: str = "source", text_col: str = "text", **limits) -> DataFrame:
-    """(id, line_no) of every line that is an item of a frequent sequence. Every subsequence of a frequent sequence is
-    frequent itself, so the items of all frequent sequences are those of level 1 and no longer pattern is needed here."""
-    _, places = frequent_sequences(chunks, id_col, source_col, text_col, **(limits | {"max_length": 1}))
+    """(id, line_no) of every line that is an item of a frequent sequence, single lines included. Every part of a frequent
+    sequence is frequent itself, so longer sequences add no line to those of level 1; limits may hold max_length=1 then."""
+    _, places = frequent_sequences(chunks, id_col, source_col, text_col, **limits)
     return places.select(F.col("_id").alias(id_col), F.col("_no").alias("line_no")).distinct()
 
 
