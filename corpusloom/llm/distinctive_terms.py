@@ -19,7 +19,8 @@ from corpusloom.runtime import materialise
 
 _WORD = re.compile("[a-z]+")
 _UPPER = str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})
-#: A vocabulary up to this many terms goes to the workers as one table (about 150 bytes a term); a larger one is joined.
+#: As many of the most frequent terms go to the workers as one table (about 150 bytes a term); the others, if there are more,
+#: are rare and are joined.
 BROADCAST_TERMS = 600_000
 
 
@@ -115,11 +116,15 @@ def score_terms(
 
         scored = rows.where(F.col("_text").isNotNull()).mapInArrow(score, schema)
     else:
-        # the vocabulary is too large for the workers' memory: postings are joined with it, then come back by chunk
+        # the vocabulary is too large for the workers' memory: postings meet its most frequent terms, of which none is
+        # shuffled, and are joined with the rare ones; then they come back by chunk
         lower = F.translate("_text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
         numbered = rows.withColumn("_row", F.monotonically_increasing_id())
         postings = numbered.select("_id", "_row", F.explode(F.regexp_extract_all(lower, F.lit("[a-z]+"), F.lit(0))).alias("term")).where(F.length("term") >= min_len).groupBy("_id", "_row", "term").agg(F.count("*").alias("tf"))
-        by_chunk = postings.join(stats, "term").groupBy("_id", "_row").agg(F.array_sort(F.collect_list(F.struct("term", "tf", "df", "cf"))).alias("t"))
+        head = materialise(stats.orderBy(F.desc("df"), "term").limit(broadcast_terms), "head")
+        met = materialise(postings.join(F.broadcast(head), "term", "left"), "postings")  # at most broadcast_terms rows
+        rare = met.where(F.col("df").isNull()).drop("df", "cf").join(stats, "term")
+        by_chunk = met.where(F.col("df").isNotNull()).select("_id", "_row", "term", "tf", "df", "cf").unionByName(rare.select("_id", "_row", "term", "tf", "df", "cf")).groupBy("_id", "_row").agg(F.array_sort(F.collect_list(F.struct("term", "tf", "df", "cf"))).alias("t"))
 
         def score_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
