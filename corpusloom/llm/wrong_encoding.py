@@ -9,6 +9,7 @@ the transformations with enough independent votes are then applied to all pieces
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import cache
@@ -28,7 +29,8 @@ LOST = "�"
 _SPACE = re.compile("[ \n\t\r]+")
 _RUN = re.compile("[^\x00-\x7f]+")
 _DIGITS = re.compile("[0-9]+")
-#: Characters that restored text may consist of: what European text is written with.
+#: Characters that are restored wherever their image stands: what European text is written with. Other scripts are restored by
+#: stretches of several letters.
 ALPHABET = [*range(0xA0, 0x180), *range(0x218, 0x21C), *range(0x386, 0x3CF), *range(0x400, 0x460), *range(0x2010, 0x2028), 0x2030, 0x2032, 0x2033, 0x2039, 0x203A, 0x20AC, 0x2122, 0x2212, 0x2260, 0x2264, 0x2265, 0x221E, 0x2248]
 
 
@@ -61,11 +63,6 @@ def image(chain: tuple[str, ...], ch: str) -> str | None:
     return ch
 
 
-def explains(chain: tuple[str, ...], clean: str, garbled: str) -> bool:
-    parts = [image(chain, c) for c in clean]
-    return None not in parts and "".join(parts) == garbled
-
-
 def pieces_of(text: str) -> Iterator[tuple[str, str]]:
     """(anchor, token) of every blank-separated token with a non-ASCII character, runs of digits as one #. The anchor is the
     token without its non-ASCII characters; where fewer than three letters are left, the ASCII of both neighbours joins it."""
@@ -165,6 +162,37 @@ def decoder(accepted: tuple[str, ...]) -> tuple[re.Pattern, dict[str, str]]:
     return re.compile("|".join(map(re.escape, known)) or "(?!)"), table
 
 
+@cache
+def wide_decoders(accepted: tuple[str, ...]) -> list[tuple[re.Pattern, dict[str, int], str]]:
+    """For scripts beyond ALPHABET: of each accepted single reading of a multi-byte encoding the pattern of at least two
+    characters of three or four bytes, or three of two, in a row, and the byte behind every character."""
+    out = []
+    for name in accepted:
+        chain = tuple(name.split("|"))
+        if chain[0] in MULTI and len(chain) == 2:
+            shown = _byte_tables(chain[1])
+            of = lambda lo, hi: "[" + "".join(re.escape(shown[b]) for b in range(lo, hi)) + "]"
+            more = of(0x80, 0xC0)
+            pattern = re.compile(f"(?:{of(0xE0, 0xF0)}{more}{more}|{of(0xF0, 0xF5)}{more}{more}{more}){{2,}}|(?:{of(0xC2, 0xE0)}{more}){{3,}}")
+            out.append((pattern, {c: b for b, c in reversed(list(enumerate(shown)))}, chain[0]))
+    return out
+
+
+def wide(text: str, accepted: tuple[str, ...]) -> str:
+    """text with stretches decoded that are letters of one script, and nothing else, once read as they were written."""
+    def back(m: re.Match, bytes_of: dict[str, int], encoding: str) -> str:
+        try:
+            s = bytes(bytes_of[c] for c in m.group()).decode(encoding)
+        except (KeyError, UnicodeDecodeError):
+            return m.group()
+        kinds = {unicodedata.name(c, "?").split()[0] for c in s}
+        return s if len(kinds) == 1 and all(unicodedata.category(c) in ("Lo", "Ll", "Lu") for c in s) else m.group()
+
+    for pattern, bytes_of, encoding in wide_decoders(accepted):
+        text = pattern.sub(lambda m, b=bytes_of, e=encoding: back(m, b, e), text)
+    return text
+
+
 _C1 = re.compile("[\x80-\x9f]")
 
 
@@ -192,7 +220,7 @@ def judged(found: DataFrame, pairs: DataFrame, accepted: tuple[str, ...]) -> Dat
         for b in batches:
             rows = []
             for a, w, twin in zip(*(c.to_pylist() for c in b.columns)):
-                restored = pattern.sub(lambda m: table[m.group()], w)
+                restored = pattern.sub(lambda m: table[m.group()], wide(w, accepted))
                 if restored == w and twin is not None:
                     restored = transfer(w, twin)
                 if restored != w or LOST in w or _C1.search(w):

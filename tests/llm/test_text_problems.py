@@ -207,6 +207,22 @@ def test_scans(spark):
     assert S.defects_of(df.limit(0), m).count() == 0
 
 
+def test_other_scripts_are_restored():
+    accepted = ("utf-8|cp1252", "utf-8|latin-1")
+    for word in ("河川測量", "مرحبا", "שלום", "ภาษาไทย"[:2] + "กข"):
+        assert W.wide(word.encode().decode("latin-1"), accepted) == word or W.wide("".join(W._byte_tables("cp1252")[b] for b in word.encode()), accepted) == word
+    for text in ("naïve café", "“quoted” – 5 µm", "Łąka žito", "à la carte", "Ünal’s"):
+        assert W.wide(text, accepted) == text
+
+
+def test_rare_terms_are_joined(spark):
+    rng = random.Random(3)
+    rows = [(k, "s", " ".join(rng.choice(["common", "water", f"rare{chr(97 + k % 26)}{chr(97 + k // 26)}", "stone"]) for _ in range(30))) for k in range(60)]
+    df = chunks(spark, rows)
+    whole, split = ({(r.chunk_id, r.term): (r.tf, r.df, round(r.weight, 9), r.rank) for r in D.score_terms(df, broadcast_terms=n).collect()} for n in (600_000, 2))
+    assert whole == split
+
+
 def test_long_repeated_block(spark):
     block = "\n".join(f"notice of the {x} house" for x in ("first", "second", "third", "fourth", "fifth", "sixth", "seventh", "eighth"))
     df = chunks(spark, [(k, "s", f"{block}\nbody of text {'abcdefgh'[k]}") for k in range(8)])
