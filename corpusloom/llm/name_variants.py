@@ -195,47 +195,100 @@ def org_cost(spelling: str, name: str) -> float | None:
 
 
 def deletions(word: str) -> set[str]:
-    return {word, *(word[:k] + word[k + 1 :] for k in range(len(word)))} if len(word) >= 5 else {word}
-
-
-def canonical_keys(kind: str, name: str, family: str | None) -> set[str]:
-    """What a spelling of this entity has at least one of: a family name's word up to a slip, an organisation's acronym or
-    one of its own words."""
+    """The word, and what is left of it after as many deletions as a word of its length may have slips: two words that `slips`
+    leads to each other have one of these in common."""
+    out = last = {word}
+    for _ in range(0 if len(word) < 4 else 1 if len(word) < 12 else 2):
+        last = {w[:k] + w[k + 1 :] for w in last for k in range(len(w))}
+        out = out | last
+    return out
+
+
+def filing_words(kind: str, name: str, family: str | None) -> tuple[set[str], set[str]]:
+    """(words, own): every spelling that a reading leads to this entity has one of the words, or each of its own words, up to
+    what `akin` allows. #x stands for a whole spelling x."""
     if kind == "org":
-        words = [t for t in _TOKEN.findall(fold(name)) if t not in SMALL and len(t) >= 5]
-        return {f"#{acronym(name)}", *(k for w in words for k in deletions(w))}
+        words = {t for t in _TOKEN.findall(fold(name)) if t not in SMALL}
+        own = words - LOOSE
+        return {f"#{acronym(name)}"} | (set() if own else words), own
     words = _TOKEN.findall(fold(family or name.split(",")[0]))
-    return {k for w in {*words, "".join(words)} for k in deletions(w)}
+    if not words:
+        return set(), set()
+    return {max(words, key=lambda w: (len(w), w)), "".join(words)} | ({"".join(words[::-1])} if len(words) == 2 else set()), set()
 
 
-def spelling_keys(s: str) -> set[str]:
-    words = [w for w in _TOKEN.findall(fold(s)) if w not in TITLES]
-    pairs = ["".join(p) for p in zip(words, words[1:])]
+def spelling_words(s: str) -> set[str]:
+    """What a spelling's reading may take for a word of an entity: words, parts between commas as one word, the whole."""
+    words = _TOKEN.findall(fold(s))
+    parts = [p for p in ([t for t in _TOKEN.findall(fold(p)) if t not in TITLES] for p in s.split(",")) if p]
+    joined = {"".join(parts[0]), "".join(t for p in parts[1:] for t in p)} if len(parts) >= 2 else set()
     last = re.search(r"\(([^)]*)\)\s*$", s)
-    marks = {f"#{''.join(words)}"} | ({f"#{fold(last[1])}"} if last else set())
-    return {k for w in [w for w in words if len(w) >= 3] + pairs for k in deletions(w)} | marks
+    return {*words, *joined, "#" + "".join(words)} | ({"#" + fold(last[1]).replace(".", "")} if last else set())
+
+
+def akin(typed: str, word: str) -> bool:
+    """A reading may take the typed word for this one: the same, short for it, its beginning or a slip."""
+    if typed == word or SHORT.get(typed) == word:
+        return True
+    if typed[:1] == "#" or word[:1] == "#":
+        return False
+    return len(typed) >= 3 and word.startswith(typed) and len(word) - len(typed) >= 2 or slips(typed, word) is not None
+
+
+def typed_keys(word: str) -> set[str]:
+    return {word} if word[0] == "#" else {*deletions(word), SHORT.get(word, word), f"^{word}"}
+
+
+def filed_keys(word: str) -> set[str]:
+    return {word} if word[0] == "#" else deletions(word) | {f"^{word[:k]}" for k in range(3, len(word) - 1)}
+
 
+def _exploded(df: DataFrame, columns: list[str], words, schema: str) -> DataFrame:
+    """Rows of df, once for every tuple that words(*columns) gives; schema names what the tuple holds."""
+    added = [x.split() for x in schema.split(", ")]
 
-def _with_keys(df: DataFrame, columns: list[str], keys, n_args: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(k, i) for i, args in enumerate(zip(*(b.column(c).to_pylist() for c in range(n_args)))) for k in sorted(keys(*args))]
-            take = pa.array([i for _, i in rows], pa.int64())
-            yield pa.record_batch([pa.array([k for k, _ in rows], pa.string()), *(c.take(take) for c in b.columns)], ["key", *b.schema.names])
+            rows = [(i, t) for i, args in enumerate(zip(*(c.to_pylist() for c in b.columns))) for t in sorted(words(*args))]
+            take = pa.array([i for i, _ in rows], pa.int64())
+            yield pa.record_batch([c.take(take) for c in b.columns] + [pa.array([t[k] for _, t in rows], pa.bool_() if kind == "boolean" else pa.string()) for k, (_, kind) in enumerate(added)], [*b.schema.names, *(x for x, _ in added)])
 
     kinds = dict(df.dtypes)
-    return df.select(*columns).mapInArrow(run, "key string, " + ", ".join(f"`{c}` {kinds[c]}" for c in columns))
+    return df.select(*columns).mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in columns) + f", {schema}")
 
 
-def likelihoods(spellings: DataFrame, canon: DataFrame, most_shared: float = 0.02) -> DataFrame:
-    """(spelling, cid, cost) for the pairs that a reading explains. Pairs meet by keys; words that more than most_shared of
-    the canonical organisations have ("institute") lead nowhere by themselves, since each has a word of its own."""
-    ckeys = materialise(_with_keys(canon, ["kind", "name", "family", "given", "cid"], lambda kind, name, family: canonical_keys(kind, name, family), 3), "ckeys")
-    total = canon.count()
-    common = ckeys.where("kind = 'org'").groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > max(20, most_shared * total)).select("key")
-    ckeys = ckeys.join(common, "key", "left_anti")
-    skeys = _with_keys(spellings, ["spelling"], spelling_keys, 1)
-    pairs = skeys.join(ckeys, "key").select("spelling", "kind", "name", "family", "given", "cid").distinct()
+def typed_words(spellings: DataFrame) -> DataFrame:
+    """(spelling, typed)"""
+    return _exploded(spellings, ["spelling"], lambda s: [(w,) for w in spelling_words(s)], "typed string")
+
+
+def filed(canon: DataFrame) -> DataFrame:
+    """(cid, word): words that spellings of an entity have one of; of an organisation's own words the one that the fewest
+    organisations have, be that few or many."""
+
+    def both(cid: str, kind: str, name: str, family: str | None) -> list[tuple[str, bool]]:
+        words, own = filing_words(kind, name, family)
+        return [(w, False) for w in words] + [(w, True) for w in own]
+
+    words = materialise(_exploded(canon, ["cid", "kind", "name", "family"], both, "word string, own boolean").select("cid", "word", "own"), "filed")
+    own = words.where("own")
+    rarest = own.join(own.groupBy("word").agg(F.count("*").alias("c")), "word").groupBy("cid").agg(F.min(F.struct("c", "word")).alias("m"))
+    return words.where("not own").select("cid", "word").unionByName(rarest.select("cid", F.col("m.word").alias("word")))
+
+
+def likelihoods(typed: DataFrame, canon: DataFrame) -> DataFrame:
+    """(spelling, cid, cost) for all pairs that a reading explains. typed: (spelling, typed) of typed_words. Typed words meet
+    the words that entities are filed under by common deletions and beginnings, then spellings meet entities by these words."""
+    words = materialise(filed(canon), "words")
+    ours = _exploded(typed.select("typed").distinct(), ["typed"], lambda w: [(k,) for k in typed_keys(w)], "key string")
+    theirs = _exploded(words.select("word").distinct(), ["word"], lambda w: [(k,) for k in filed_keys(w)], "key string")
+
+    def meant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array([akin(t, w) for t, w in zip(b.column(0).to_pylist(), b.column(1).to_pylist())], pa.bool_()))
+
+    met = materialise(ours.join(theirs, "key").select("typed", "word").distinct().mapInArrow(meant, "typed string, word string"), "met")
+    pairs = typed.join(met, "typed").join(words, "word").select("spelling", "cid").distinct().join(canon, "cid").select("spelling", "kind", "name", "family", "given", "cid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -252,12 +305,13 @@ def attribute(spellings: DataFrame, reference: DataFrame, *, min_frequency: int
     beside all others and beside being nobody's; ties, spellings of unlisted people, null and blank ones get no row."""
     spellings = materialise(spellings.where(F.col("spelling").isNotNull() & (F.trim("spelling") != "")), "spellings")
     known = reference.where(F.col("name").isNotNull()).select("kind", "name", F.coalesce("family", F.substring_index("name", ",", 1)).alias("family"), F.coalesce("given", F.trim(F.regexp_extract("name", ",(.*)", 1))).alias("given"), F.concat(F.lit("E"), F.col("entity_id").cast("string")).alias("cid"))
-    to_known = materialise(likelihoods(spellings, known), "known")
+    typed = materialise(typed_words(spellings), "typed")
+    to_known = materialise(likelihoods(typed, known), "known")
     # people the reference doesn't list but who are spelled out again and again
     own = spellings.where(F.col("n") >= min_frequency).where(F.col("spelling").rlike(FULL_FORM)).join(to_known.select("spelling"), "spelling", "left_anti")
     own = own.select(F.lit("person").alias("kind"), F.col("spelling").alias("name"), F.substring_index("spelling", ",", 1).alias("family"), F.trim(F.regexp_extract("spelling", ",(.*)", 1)).alias("given"), F.concat(F.lit("U"), F.col("spelling")).alias("cid"))
     own = materialise(own, "own")
-    everybody = to_known.unionByName(likelihoods(spellings, own))
+    everybody = to_known.unionByName(likelihoods(typed, own))
     prior = known.select("name", "cid").unionByName(own.select("name", "cid")).join(spellings.withColumnRenamed("spelling", "name"), "name", "left").select("cid", F.log1p(F.coalesce("n", F.lit(0)) + 1.0).alias("log_prior"))
     scored = everybody.groupBy("spelling", "cid").agg(F.min("cost").alias("cost")).join(prior, "cid").withColumn("score", F.col("log_prior") - F.col("cost"))
     per = Window.partitionBy("spelling")

@@ -3,6 +3,7 @@
 import random
 import re
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -29,6 +30,27 @@ def test_names(spark):
     assert N.attribute_entries(docs.limit(0), reg).count() == 0 and N.attribute_entries(docs, reg.limit(0)).count() == 0
 
 
+def test_every_explained_pair_of_names_meets(spark):
+    words = ["Alpine", "Botany", "Climate", "Desert", "Estuary", "Forest", "Glacier", "Heath"]
+    # all words are shared by many organisations, none has one of its own
+    orgs = [f"{' '.join(c)} Institute" for c in combinations(words, 4)] + ["University Department Faculty Group", "Marine Data Natural Centre"]
+    people = [("Li", "Wei"), ("Weskeglitrandoum", "Ida"), ("van den Hoogkerk", "Jan"), ("Koul", "Vera"), ("Plékegler-Dröun", "Samuel")]
+    canon = [("org", n, None, None, f"E{k}") for k, n in enumerate(orgs)] + [("person", f"{f}, {g}", f, g, f"E{100 + k}") for k, (f, g) in enumerate(people)]
+    typed = [f"Institute {' '.join(n.split()[3::-1])}" for n in orgs[:70]] + [
+        "Inst. Desert Botany Climte Alpine", "Alp. Bot. Clim. Des. Inst", "Department University Faculty Group", "MD", "MDNC", "Li, W.", "W. Li", "Wei Li", "Wesekglitrandom, Ida", "Ida Weskeglitrandoumx", "Vandenhoogkerk, J.",
+        "Koal, Vera", "Vera Koull", "Drounplekegler, S.", "Plekegler Dröun, Samuel, PhD", "Somebody, Else", "—", "Jan van den Hogkerk", "Hoogkerk, Jan",
+    ]
+    df = spark.createDataFrame([(s,) for s in typed], "spelling string")
+    got = N.likelihoods(N.typed_words(df), spark.createDataFrame(canon, "kind string, name string, family string, given string, cid string"))
+    cost = {(s, c[4]): N.org_cost(s, c[1]) if c[0] == "org" else N.person_cost(s, c[2], c[3]) for s in typed for c in canon}
+    want = {p: x for p, x in cost.items() if x is not None}
+    assert {(s, e) for s, e in want} >= {(s, f"E{k}") for k, s in enumerate(typed[:70])} and len({s for s, _ in want}) >= 82
+    assert {(r.spelling, r.cid): r.cost for r in got.collect()} == want
+    reg = spark.createDataFrame([(k, "org", n, None, None) for k, n in enumerate(orgs)], "entity_id long, kind string, name string, family string, given string")
+    docs = spark.createDataFrame([(k, [s]) for k, s in enumerate(typed[:70])], "doc_id long, authors array<string>")
+    assert {(r.doc_id, r.entity_id) for r in N.attribute_entries(docs, reg).collect()} == {(k, k) for k in range(70)}
+
+
 def test_distance():
     assert [N.distance(*x, 2) for x in (("abc", "abc"), ("abc", "acb"), ("abc", "abdc"), ("abcd", "dcba"), ("a", "abcd"))] == [0, 1, 1, 3, 3]
 
