@@ -9,11 +9,12 @@ are the editor's candidates.
 
 from __future__ import annotations
 
+import math
 import random
 import re
 import unicodedata
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -21,9 +22,8 @@ from pyspark.sql import functions as F
 
 from corpusloom.runtime import materialise
 
-#: Bounds of the training samples: words spoilt for the character editor, chunks spoilt for lines and line ends, odd words
-#: of scans and of other pages that are aligned with the lexicon.
-TRAIN_WORDS, TRAIN_CHUNKS, ALIGN_WORDS, EPOCHS = 4_000, 1_500, 6_000, 4
+#: Bounds of the training samples: words spoilt for the character editor, chunks spoilt for lines and line ends.
+TRAIN_WORDS, TRAIN_CHUNKS, EPOCHS = 4_000, 1_500, 4
 #: A line form is a series' head while it has more than this many papers' scans for each of its lines on pages that are no scans.
 MISSED = 2
 # Words before which a hyphen at a line end belongs to a separate word.
@@ -322,27 +322,55 @@ def frames(word: str) -> Iterator[tuple[str, str]]:
             yield f"{word[:k]}\0{word[k + n :]}", word[k : k + n]
 
 
-def confusions(scans: dict[str, dict[tuple[str, str], float]], others: dict[str, dict[tuple[str, str], float]], rounds: int = 20, least: float = 1.9, times: float = 8.0) -> dict[tuple[str, str], float]:
-    """(read, printed) -> its share, learned by expectation-maximisation. scans, others: odd word -> {edit that leads into the
-    lexicon: how frequent the word it leads to is}, of words of scans and of other pages.
-    An edit counts if scans need it for `least` words, or for one if scanners are known for it, and `times` as often as other
-    pages, where people mistype."""
-    def expected(words: dict[str, dict[tuple[str, str], float]], share: dict[tuple[str, str], float] | None) -> Counter:
-        out: Counter = Counter()
-        for edits in words.values():
-            p = {e: n**0.5 * (share.get(e, 0.0) if share else 1.0) for e, n in edits.items()}
-            total = sum(p.values())
-            if total > 0:
-                for e, x in p.items():
-                    out[e] += x / total
-        return out
+Edits = dict[tuple[str, str], float]  # edit that leads into the lexicon -> how frequent the word it leads to is
+
+
+def expected(words: Iterable[Edits], share: Edits | None) -> Counter:
+    """How many of the words need each edit, if the edits have these shares (None: equal ones)."""
+    out: Counter = Counter()
+    for edits in words:
+        p = {e: n**0.5 * (share.get(e, 0.0) if share else 1.0) for e, n in edits.items()}
+        total = sum(p.values())
+        if total > 0:
+            for e, x in p.items():
+                out[e] += x / total
+    return out
+
 
-    share = None
+def surprise(n: float, of: int, m: float, of_others: int) -> float:
+    """Log-likelihood ratio of n among `of` words and m among `of_others` against one rate for both."""
+    both = (n + m) / (of + of_others)
+    return 2 * sum(x * math.log(x / (both * k)) for x, k in ((n, of), (m, of_others)) if x > 0)
+
+
+def learned(step: Callable[[Edits | None], Edits], typed: Callable[[list[tuple[str, str]]], Edits], n_scans: int, n_others: int, rounds: int = 20, least: float = 1.9, times: float = 8.0, usual: int = 6_000) -> Edits:
+    """(read, printed) -> its count, by expectation-maximisation. step: shares -> expected counts over all odd words of scans;
+    typed: edits -> expected counts over all odd words of other pages; n_scans, n_others: how many words these are.
+    An edit counts if scans need it for `least` words, or for one if scanners are known for it, and `times` as often as other
+    pages, where people mistype. One that scanners aren't known for must moreover be needed by `least` in `usual` words, or
+    more often than on other pages by more than chance brings about among so many edits: the more words, the more edits two
+    of them seem to need."""
+    share, tried = None, 0
     for _ in range(rounds):
-        counts = expected(scans, share)
-        share = {e: n for e, n in counts.items() if n > 1e-6}
-    typed = expected(others, None)
-    return {e: n for e, n in sorted((share or {}).items()) if n >= (0.9 if e in KNOWN else least) and n >= times * typed[e]}
+        now = {e: round(n, 9) for e, n in step(share).items() if n > 1e-6}
+        tried = max(tried, len(now))
+        if now == share:
+            break
+        share = now
+    found = {e: n for e, n in sorted((share or {}).items()) if n >= (0.9 if e in KNOWN else least)}
+    others = typed(list(found)) if found else {}
+    out = {}
+    for e, n in found.items():
+        m = others.get(e, 0.0)
+        usually = e in KNOWN or n >= least * n_scans / usual or surprise(n, n_scans, m, n_others) > 2 * math.log(tried)
+        if usually and n * n_others >= times * m * n_scans:
+            out[e] = n
+    return out
+
+
+def confusions(scans: dict[str, Edits], others: dict[str, Edits], **how) -> Edits:
+    """`learned` from odd words of scans and of other pages with their edits."""
+    return learned(lambda share: expected(scans.values(), share), lambda _: expected(others.values(), None), len(scans), len(others), **how)
 
 
 # -- over tables -------------------------------------------------------------------------------------------------------
@@ -364,9 +392,9 @@ def words_of(chunks: DataFrame, text_col: str) -> DataFrame:
     return chunks.select(text_col).where(F.length(text_col) > 0).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def aligned(words: DataFrame, lexicon: DataFrame) -> dict[str, dict[tuple[str, str], float]]:
-    """words (word): a bounded sample. word -> {(read, printed): frequency of the lexicon's word}: edits of one place, up to
-    two characters on either side, that lead to a word of the lexicon."""
+def aligned(words: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """words (scan, word) -> (scan, word, edits): edits (read, printed, frequency of the lexicon's word) of one place, up to two
+    characters on either side, that lead to a word of the lexicon."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -374,22 +402,41 @@ def aligned(words: DataFrame, lexicon: DataFrame) -> dict[str, dict[tuple[str, s
             yield pa.record_batch([pa.array([r[k] for r in rows], pa.int64() if k == 3 else pa.string()) for k in range(4)], ["frame", "gap", "word", "n"])
 
     schema = "frame string, gap string, word string, n long"
-    ours = words.select("word", F.lit(0).cast("long").alias("n")).mapInArrow(cut, schema).select("frame", F.col("gap").alias("read"), "word")
-    theirs = lexicon.where(F.length("word").between(4, 24) & F.col("word").rlike(r"^\p{L}+$")).select("word", "n").mapInArrow(cut, schema).select("frame", F.col("gap").alias("printed"), F.col("word").alias("_to"), "n")
+    ours = words.select("word", F.col("scan").cast("long").alias("n")).mapInArrow(cut, schema).select("frame", F.col("gap").alias("read"), "word", (F.col("n") == 1).alias("scan"))
+    theirs = lexicon.where(F.length("word").between(4, 24) & F.col("word").rlike(r"^\p{L}+$")).select("word", "n").mapInArrow(cut, schema).select("frame", F.col("gap").alias("printed"), "n")
     apart = (F.substring("read", 1, 1) != F.substring("printed", 1, 1)) & (F.right("read", F.lit(1)) != F.right("printed", F.lit(1)))
-    met = ours.hint("merge").join(theirs, "frame").where(apart).groupBy("word", "read", "printed").agg(F.sum("n").alias("n"))
-    out: dict[str, dict[tuple[str, str], float]] = {}
-    for r in met.collect():  # of a bounded sample
-        out.setdefault(r["word"], {})[r["read"], r["printed"]] = float(r["n"])
-    return out
+    met = ours.hint("merge").join(theirs, "frame").where(apart).groupBy("scan", "word", "read", "printed").agg(F.sum("n").cast("double").alias("n"))
+    return met.groupBy("scan", "word").agg(F.collect_list(F.struct("read", "printed", "n")).alias("edits"))
+
+
+def needed(words: DataFrame, share: Edits | None, only: set[tuple[str, str]] | None = None) -> Edits:
+    """`expected` over the words (edits) of a table; only: the edits whose counts are wanted. What comes to the driver is one
+    row an edit, of at most two letters on either side, however many words there are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c: Counter = Counter()
+        for b in batches:
+            c.update(expected(({(e["read"], e["printed"]): e["n"] for e in edits} for edits in b.column(0).to_pylist()), share))
+        rows = [(*e, n) for e, n in c.items() if only is None or e in only]
+        yield pa.record_batch([pa.array([r[k] for r in rows], pa.float64() if k == 2 else pa.string()) for k in range(3)], ["read", "printed", "n"])
+
+    sums = words.select("edits").mapInArrow(run, "read string, printed string, n double").groupBy("read", "printed").agg(F.sum("n").alias("n")).toArrow()
+    return {(r, p): n for r, p, n in zip(*(c.to_pylist() for c in sums.columns))}
 
 
-def learn_confusions(words: DataFrame, counted: DataFrame, lexicon: DataFrame) -> dict[tuple[str, str], float]:
-    """words: (word) of scans that the lexicon lacks; counted: (word, n) of other pages, rare ones included."""
+def learn_confusions(words: DataFrame, counted: DataFrame, lexicon: DataFrame) -> Edits:
+    """`learned` from all words: (word) of scans that the lexicon lacks, counted (word, n) of other pages, rare ones included."""
     usable = lambda df: df.where(F.length("word").between(4, 24) & F.col("word").rlike(r"^[\p{L}0-9]*\p{L}[\p{L}0-9]*$"))
     ours = usable(words.select(F.lower("word").alias("word")).distinct())
     theirs = usable(counted.join(lexicon.select("word"), "word", "left_anti").select("word"))
-    return confusions(aligned(bounded_sample(ours, "word", ALIGN_WORDS), lexicon), aligned(bounded_sample(theirs, "word", ALIGN_WORDS), lexicon))
+    both = materialise(ours.select(F.lit(True).alias("scan"), "word").unionByName(theirs.select(F.lit(False).alias("scan"), "word")), "both")
+    n = {r["scan"]: r["count"] for r in both.groupBy("scan").count().collect()}
+    found = materialise(aligned(both, lexicon), "aligned")
+    # a word that one edit explains needs it whatever the shares are
+    settled = needed(found.where(F.col("scan") & (F.size("edits") == 1)), None)
+    undecided = materialise(found.where(F.col("scan") & (F.size("edits") > 1)), "undecided")
+    step = lambda share: Counter(settled) + Counter(needed(undecided, share))
+    return learned(step, lambda edits: needed(found.where(~F.col("scan")), None, set(edits)), n.get(True, 0), n.get(False, 0))
 
 
 def with_known(words: DataFrame, lexicon: DataFrame, fixes: Fixes) -> DataFrame:

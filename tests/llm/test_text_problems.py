@@ -253,6 +253,41 @@ def test_confusions_are_learned():
     assert "commemoration" in S.possible_words("cornmernoration", (("rn", "m"), ("c", "e"), ("o", "c"), ("a", "o"), ("t", "l"), ("i", "j")))
 
 
+def test_confusions_come_from_all_odd_words(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("bdfgklmprstvz") + rng.choice("aou") for _ in range(5))
+    known = sorted({word() for _ in range(300)})
+    lexicon = spark.createDataFrame([(w, 5) for w in known], "word string, n long")
+    # 13,000 words that no edit explains, three misread in a way that scanners aren't known for, one in a known one
+    odd = sorted({"x" + "".join(rng.choice("hjnqwy") for _ in range(9)) for _ in range(13_000)})
+    misread = [w[:4] + w[4:].replace("a", "ee", 1) for w in known if "a" in w[4:]][:3] + [next(w.replace("m", "rn", 1) for w in known if "m" in w)]
+    words = spark.createDataFrame([(w,) for w in odd + misread], "word string")
+    counted = lexicon.unionByName(spark.createDataFrame([(w[::-1], 1) for w in odd * 3], "word string, n long"))
+    got = S.learn_confusions(words, counted, lexicon)
+    assert got == {("ee", "a"): 3.0, ("rn", "m"): 1.0}
+    # the table's counts are those of the words one by one, undecided ones included
+    known = [a + b + c + d for a in "bdm" for b in "ao" for c in "bdm" for d in "ao"]
+    lexicon = spark.createDataFrame([(w, k + 3) for k, w in enumerate(known)], "word string, n long")
+    words = sorted({w[:k] + c + w[k + 1 :] for w in known for k, c in ((1, "e"), (2, "n"), (0, "rn"))})
+    both = spark.createDataFrame([(k % 3 > 0, w) for k, w in enumerate(words)], "scan boolean, word string")
+    found = S.aligned(both, lexicon).collect()
+    scans, others = ({r.word: {(e.read, e.printed): e.n for e in r.edits} for r in found if r.scan == x} for x in (True, False))
+    assert any(len(e) > 1 for e in scans.values())
+    table = S.aligned(both, lexicon).where("scan")
+    for share in (None, {e: 0.3 + len(e[0]) for edits in scans.values() for e in edits}):
+        assert S.needed(table, share) == pytest.approx(dict(S.expected(scans.values(), share)))
+
+
+def test_chance_edits_are_no_confusions():
+    # 40 edits that two of 20,000 words seem to need, one that 60 do; other pages need none of them
+    scans = {f"w{k}{j}": {(f"{k}", "x"): 1.0} for k in range(40) for j in "ab"} | {f"v{k}": {("q", "y"): 1.0} for k in range(60)}
+    got = S.learned(lambda share: S.expected(scans.values(), share), lambda edits: {}, 20_000, 20_000)
+    assert set(got) == {("q", "y")}
+    # few edits, few words: two are enough, on pages of equal number; a rate of other pages counts, not their number
+    assert S.learned(lambda share: {("q", "y"): 2.0}, lambda edits: {}, 30, 0) == {("q", "y"): 2.0}
+    assert S.learned(lambda share: {("q", "y"): 20.0}, lambda edits: {("q", "y"): 5.0}, 100, 10_000) == {("q", "y"): 20.0}
+
+
 def test_line_ends_and_numbers():
     assert [S.number_shape(x) != "" for x in ("12", "[12]", "- 12 -", "Seite 3", "p. 3 of 9", "12/198", "xxiv", "lO5", ". 112", "Fig. 6", "* * *", "mix")] == [True] * 9 + [False] * 3
     assert S.slip_fixes("reegional") >= {"regional"} and "regional" in S.possible_words("regiona1", (("1", "l"),))
